@@ -1,0 +1 @@
+"""Every job of this library is a batch job; there is no stream to read or write."""
