@@ -1,6 +1,8 @@
 """All registered queries; importing this package registers them."""
 
 from sectorlens.catalog import (  # noqa: F401
+    names,
+    official,
     records,
 )
 from sectorlens.catalog.registry import ORACLES, QUERIES

@@ -68,5 +68,6 @@ def labour_table(indicators: DataFrame) -> DataFrame:
 
 
 def clean_population(df: DataFrame) -> DataFrame:
-    """Area code and population of a population-estimate sheet."""
-    return df.select(F.col("Code").alias("geo_code"), F.col("All ages").alias("pop_2020"))
+    """Area code and population of a population-estimate sheet; a row number stays."""
+    kept = [c for c in df.columns if c == "row_no"]
+    return df.select(F.col("Code").alias("geo_code"), F.col("All ages").alias("pop_2020"), *kept)
