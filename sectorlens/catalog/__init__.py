@@ -4,6 +4,7 @@ from sectorlens.catalog import (  # noqa: F401
     names,
     official,
     records,
+    sectors,
     text,
 )
 from sectorlens.catalog.registry import ORACLES, QUERIES
