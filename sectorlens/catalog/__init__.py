@@ -6,6 +6,7 @@ from sectorlens.catalog import (  # noqa: F401
     records,
     sectors,
     text,
+    vectors,
 )
 from sectorlens.catalog.registry import ORACLES, QUERIES
 
