@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,55 +19,68 @@ from sectorlens.session import cut
 GROUP_NUMBERS = ((2, 2), (3, 3), (5, 5), (8, 8))
 
 
-def _start(nodes: DataFrame, node: str, label: str, runs: Column, size: str) -> DataFrame:
-    seeded = nodes.select("sector", node, F.explode(runs).alias("r"))
-    return seeded.select(
-        "sector", "r.run", node, F.pmod(F.xxhash64(node, "r.seed"), F.col(f"r.{size}")).cast("int").alias(label)
-    )
+def _start(nodes: DataFrame, node: str, label: str, sizes: Sequence[tuple[int, int]]) -> DataFrame:
+    """(sector, node, labels): a seeded random label per run; ``sizes`` gives seed and group number."""
+    labels = F.array(*[F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(b)).cast("int") for seed, b in sizes])
+    return nodes.select("sector", node, labels.alias(label))
 
 
 def _neighbour_counts(edges: DataFrame, labels: DataFrame, across: str, node: str, label: str) -> DataFrame:
-    """(sector, run, node, other label, n): a node's edges by the label at their other end."""
+    """(sector, run, node, other label, n): a node's edges by the label at their other end.
+
+    Labels are unique per node, so their hash tables stay even when a node has very many edges.
+    """
     return (
-        edges.join(labels, ["sector", across])
+        edges.join(labels.hint("shuffle_hash"), ["sector", across])
+        .select("sector", node, "cnt", F.posexplode(label).alias("run", label))
         .groupBy("sector", "run", node, label)
         .agg(F.sum("cnt").alias("n"))
     )
 
 
+def _by_run(labels: DataFrame, node: str, label: str) -> DataFrame:
+    return labels.select("sector", node, F.posexplode(label).alias("run", label))
+
+
 def _block_counts(counts: DataFrame, labels: DataFrame, node: str, own: str, other: str) -> DataFrame:
     return (
-        counts.join(labels, ["sector", "run", node])
+        counts.join(_by_run(labels, node, own).hint("shuffle_hash"), ["sector", "run", node])
         .groupBy("sector", "run", own, other)
         .agg(F.sum("n").alias("e"))
     )
 
 
-def _relabel(counts: DataFrame, blocks: DataFrame, node: str, own: str, other: str, alpha: float) -> DataFrame:
-    """Give every node the label under which its edges are most likely; ties to the lowest label."""
-    rows = blocks.groupBy("sector", "run", own).agg(
-        F.sum("e").alias("total"), F.map_from_entries(F.collect_list(F.struct(other, "e"))).alias("cells")
-    )
-    # One small row per sector and run: a few groups by a few groups.
-    models = rows.groupBy("sector", "run").agg(
-        F.collect_list(F.struct(F.col(own).alias("label"), "total", "cells")).alias("model")
-    )
-    nodes = counts.groupBy("sector", "run", node).agg(F.collect_list(F.struct(F.col(other).alias("o"), "n")).alias("ns"))
-
-    def score(block: Column) -> Column:
-        width = F.greatest(F.size("model"), F.lit(1))
+def _log_rates(blocks: DataFrame, own: str, other: str, alpha: float, width: int) -> DataFrame:
+    """(sector, run, other, rates): log probability of an edge to ``other`` under each own label.
 
-        def term(total: Column, x: Column) -> Column:
-            seen = F.coalesce(F.try_element_at(block.cells, x.o), F.lit(0)) + F.lit(alpha)
-            return total + x.n * F.log(seen / (block.total + F.lit(alpha) * width))
+    Labels without edges have no rate. The table has a row per sector, run and group.
+    """
+    keys = ["sector", "run"]
+    totals = blocks.groupBy(*keys, own).agg(F.sum("e").alias("total"))
+    others = blocks.groupBy(*keys, other).agg(F.sum("e").alias("_")).drop("_")
+    cells = totals.join(others, keys).join(blocks, [*keys, own, other], "left")
+    seen = F.coalesce("e", F.lit(0)) + F.lit(alpha)
+    rate = F.log(seen / (F.col("total") + F.lit(alpha) * width))
+    rates = cells.groupBy(*keys, other).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(own).alias("label"), rate.alias("rate")))).alias("m")
+    )
+    return rates.select(*keys, other, F.array(*[F.try_element_at("m", F.lit(b)) for b in range(width)]).alias("rates"))
 
-        fit = F.round(F.aggregate("ns", F.lit(0.0), term), 9)
-        return F.struct(fit.alias("fit"), (-block.label).alias("lower"))
 
-    best = F.array_max(F.transform("model", score))
-    return nodes.join(models, ["sector", "run"]).select(
-        "sector", "run", node, (-best.lower).cast("int").alias(own)
+def _relabel(
+    counts: DataFrame, blocks: DataFrame, node: str, own: str, other: str, alpha: float, width: int
+) -> DataFrame:
+    """Give every node, in every run, the label under which its edges are most likely; ties to the lowest."""
+    rates = _log_rates(blocks, own, other, alpha, width)
+    # One sum per label: the scores of a node are plain aggregates, combined before the shuffle.
+    fits = counts.join(rates, ["sector", "run", other]).groupBy("sector", "run", node).agg(
+        *[F.sum(F.col("n") * F.col("rates")[b]).alias(f"f{b}") for b in range(width)]
     )
+    scored = [F.struct(F.round(f"f{b}", 6).alias("fit"), F.lit(-b).alias("lower")) for b in range(width)]
+    best = F.array_max(F.array(*scored))
+    chosen = fits.select("sector", "run", node, (-best.lower).cast("int").alias(own))
+    per_node = chosen.groupBy("sector", node).agg(F.sort_array(F.collect_list(F.struct("run", own))).alias("r"))
+    return per_node.select("sector", node, F.col(f"r.{own}").alias(own))
 
 
 def _objective(blocks: DataFrame) -> DataFrame:
@@ -92,34 +105,31 @@ def fit_runs(
     epsilon: float = 0.01,
     alpha: float = 1e-9,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All runs: (history of objectives, document labels, word labels), each with run and pass."""
-    runs = [
-        (i, seed, bd, bw)
-        for i, (seed, (bd, bw)) in enumerate((s, g) for s in range(n_init) for g in group_numbers)
-    ]
-    run_array = F.array(
-        *[
-            F.struct(F.lit(i).alias("run"), F.lit(s).alias("seed"), F.lit(bd).alias("bd"), F.lit(bw).alias("bw"))
-            for i, s, bd, bw in runs
-        ]
-    )
-    docs = cut(_start(edges.select("sector", "doc_id").distinct(), "doc_id", "doc_group", run_array, "bd"))
-    words = cut(_start(edges.select("sector", "word").distinct(), "word", "word_group", run_array, "bw"))
+    """All runs: (history of objectives, document labels, word labels), each with run and pass.
+
+    Labels travel as one array per node, a label per run, so the edges are joined once for all runs.
+    """
+    runs = [(seed, bd, bw) for seed in range(n_init) for bd, bw in group_numbers]
+    docs = cut(_start(edges.select("sector", "doc_id").distinct(), "doc_id", "doc_group", [(s, bd) for s, bd, _ in runs]))
+    words = cut(_start(edges.select("sector", "word").distinct(), "word", "word_group", [(s, bw) for s, _, bw in runs]))
+    max_docs, max_words = max(bd for _, bd, _ in runs), max(bw for _, _, bw in runs)
     history, doc_states, word_states = [], [], []
     for step in range(max_iter):
         by_word_group = cut(_neighbour_counts(edges, words, "word", "doc_id", "word_group"))
         blocks = _block_counts(by_word_group, docs, "doc_id", "doc_group", "word_group")
-        new_docs = cut(_relabel(by_word_group, blocks, "doc_id", "doc_group", "word_group", alpha))
+        new_docs = cut(_relabel(by_word_group, blocks, "doc_id", "doc_group", "word_group", alpha, max_docs))
         by_doc_group = cut(_neighbour_counts(edges, new_docs, "doc_id", "word", "doc_group"))
         blocks = _block_counts(by_doc_group, words, "word", "word_group", "doc_group")
-        new_words = cut(_relabel(by_doc_group, blocks, "word", "word_group", "doc_group", alpha))
+        new_words = cut(_relabel(by_doc_group, blocks, "word", "word_group", "doc_group", alpha, max_words))
         final = _block_counts(by_doc_group, new_words, "word", "word_group", "doc_group")
-        history.append(cut(_objective(final).withColumn("pass", F.lit(step))))
-        doc_states.append(new_docs.withColumn("pass", F.lit(step)))
-        word_states.append(new_words.withColumn("pass", F.lit(step)))
+        history.append(_objective(final).withColumn("pass", F.lit(step)))
+        doc_states.append(_by_run(new_docs, "doc_id", "doc_group").withColumn("pass", F.lit(step)))
+        word_states.append(_by_run(new_words, "word", "word_group").withColumn("pass", F.lit(step)))
+        changed = F.zip_with("doc_group", "new", lambda a, b: (a != b).cast("double"))
         moved = (
-            docs.join(new_docs.withColumnRenamed("doc_group", "new"), ["sector", "run", "doc_id"])
-            .groupBy("sector", "run").agg(F.avg((F.col("doc_group") != F.col("new")).cast("double")).alias("moved"))
+            docs.join(new_docs.withColumnRenamed("doc_group", "new"), ["sector", "doc_id"])
+            .select("sector", F.posexplode(changed).alias("run", "changed"))
+            .groupBy("sector", "run").agg(F.avg("changed").alias("moved"))
             .agg(F.max("moved")).first()[0]
         )
         docs, words = new_docs, new_words
@@ -158,11 +168,19 @@ def cocluster(
     alpha: float = 1e-9,
 ) -> tuple[DataFrame, DataFrame]:
     """(sector, doc_id, doc_group) and (sector, word, word_group) of the best run of each sector."""
-    history, docs, words = fit_runs(edges, group_numbers, n_init, max_iter, epsilon, alpha)
-    chosen = choose_runs(edges, history).select("sector", "run", "pass")
+    # The passes shuffle the edges again and again, so they run on numbers instead of words.
+    numbered = cut(edges.select("sector", "word").distinct().withColumn("number", F.monotonically_increasing_id()))
+    light = cut(
+        edges.join(numbered, ["sector", "word"]).select("sector", "doc_id", F.col("number").alias("word"), "cnt")
+    )
+    history, docs, words = fit_runs(light, group_numbers, n_init, max_iter, epsilon, alpha)
+    chosen = cut(choose_runs(light, history)).select("sector", "run", "pass")
     doc_groups = docs.join(chosen, ["sector", "run", "pass"], "left_semi").select("sector", "doc_id", "doc_group")
-    word_groups = words.join(chosen, ["sector", "run", "pass"], "left_semi").select("sector", "word", "word_group")
-    return _numbered(doc_groups, "doc_group"), _numbered(word_groups, "word_group")
+    word_groups = words.join(chosen, ["sector", "run", "pass"], "left_semi").select(
+        "sector", F.col("word").alias("number"), "word_group"
+    )
+    named = numbered.join(word_groups, ["sector", "number"]).select("sector", "word", "word_group")
+    return _numbered(doc_groups, "doc_group"), _numbered(named, "word_group")
 
 
 def condense(edges: DataFrame, doc_groups: DataFrame, word_groups: DataFrame) -> DataFrame:
