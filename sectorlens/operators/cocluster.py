@@ -19,81 +19,111 @@ from sectorlens.session import cut
 GROUP_NUMBERS = ((2, 2), (3, 3), (5, 5), (8, 8))
 
 
-def _start(nodes: DataFrame, node: str, label: str, sizes: Sequence[tuple[int, int]]) -> DataFrame:
-    """(sector, node, labels): a seeded random label per run; ``sizes`` gives seed and group number."""
-    labels = F.array(*[F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(b)).cast("int") for seed, b in sizes])
-    return nodes.select("sector", node, labels.alias(label))
+def _start(nodes: DataFrame, node: str, sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
+    """(sector, node, labels): a seeded random label per run."""
+    labels = [F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(b)).cast("int") for seed, b in zip(seeds, sizes)]
+    return nodes.select("sector", node, F.array(*labels).alias("labels"))
 
 
-def _neighbour_counts(edges: DataFrame, labels: DataFrame, across: str, node: str, label: str) -> DataFrame:
-    """(sector, run, node, other label, n): a node's edges by the label at their other end.
+def _tally(edges: DataFrame, labels: DataFrame, across: str, node: str, sizes: Sequence[int]) -> DataFrame:
+    """(sector, node, c0_0, c0_1, ...): a node's edges by run and label at their other end.
 
-    Labels are unique per node, so their hash tables stay even when a node has very many edges.
+    One row per node for all runs. Labels are unique per node, so their hash tables stay even
+    when a node has very many edges; the sums are combined before the shuffle.
     """
-    return (
-        edges.join(labels.hint("shuffle_hash"), ["sector", across])
-        .select("sector", node, "cnt", F.posexplode(label).alias("run", label))
-        .groupBy("sector", "run", node, label)
-        .agg(F.sum("cnt").alias("n"))
+    joined = edges.join(labels.select("sector", across, "labels").hint("shuffle_hash"), ["sector", across])
+    sums = [
+        F.sum(F.when(F.col("labels")[r] == b, F.col("cnt")).otherwise(0)).alias(f"c{r}_{b}")
+        for r, size in enumerate(sizes)
+        for b in range(size)
+    ]
+    return joined.groupBy("sector", node).agg(*sums)
+
+
+def _blocks(state: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """(sector, run, label, edges): edges of each own label by the label at the other end."""
+    width = max(sizes)
+    per_run = F.array(
+        *[
+            F.struct(
+                F.lit(r).alias("run"),
+                F.col("labels")[r].alias("label"),
+                F.array(*[F.col(f"c{r}_{b}") if b < size else F.lit(0).cast("long") for b in range(width)]).alias("c"),
+            )
+            for r, size in enumerate(sizes)
+        ]
     )
+    sums = [F.sum(F.col("b.c")[i]).alias(f"e{i}") for i in range(width)]
+    grouped = state.select("sector", F.explode(per_run).alias("b")).groupBy("sector", "b.run", "b.label").agg(*sums)
+    return grouped.select("sector", "run", "label", F.array(*[f"e{i}" for i in range(width)]).alias("edges"))
 
 
-def _by_run(labels: DataFrame, node: str, label: str) -> DataFrame:
-    return labels.select("sector", node, F.posexplode(label).alias("run", label))
-
+def _log_rates(blocks: DataFrame, own_sizes: Sequence[int], other_sizes: Sequence[int], alpha: float) -> DataFrame:
+    """(sector, rates): for each run and own label, in turn, the log probability of an edge per other label.
 
-def _block_counts(counts: DataFrame, labels: DataFrame, node: str, own: str, other: str) -> DataFrame:
-    return (
-        counts.join(_by_run(labels, node, own).hint("shuffle_hash"), ["sector", "run", node])
-        .groupBy("sector", "run", own, other)
-        .agg(F.sum("n").alias("e"))
+    A row per sector, of as many numbers as there are blocks. Labels without edges have no rates.
+    """
+    starts = [sum(own_sizes[:r]) for r in range(len(own_sizes))]
+    place = F.array(*map(F.lit, starts))[F.col("run")] + F.col("label")
+    smooth = F.lit(alpha) * F.array(*map(F.lit, other_sizes))[F.col("run")]
+    total = F.aggregate("edges", F.lit(0).cast("long"), lambda t, e: t + e)
+    rates = F.transform("edges", lambda e: F.log((e + F.lit(alpha)) / (total + smooth)))
+    entries = blocks.where(total > 0).groupBy("sector").agg(
+        F.map_from_entries(F.collect_list(F.struct(place.alias("place"), rates.alias("rates")))).alias("m")
+    )
+    return entries.select(
+        "sector", F.array(*[F.try_element_at("m", F.lit(i)) for i in range(sum(own_sizes))]).alias("rates")
     )
 
 
-def _log_rates(blocks: DataFrame, own: str, other: str, alpha: float, width: int) -> DataFrame:
-    """(sector, run, other, rates): log probability of an edge to ``other`` under each own label.
+def _relabel(
+    state: DataFrame, node: str, own_sizes: Sequence[int], other_sizes: Sequence[int], alpha: float
+) -> DataFrame:
+    """The state with new labels: in every run the one under which the node's edges are most likely.
 
-    Labels without edges have no rate. The table has a row per sector, run and group.
+    Ties go to the lowest label. ``moved`` tells per run whether the label changed.
     """
-    keys = ["sector", "run"]
-    totals = blocks.groupBy(*keys, own).agg(F.sum("e").alias("total"))
-    others = blocks.groupBy(*keys, other).agg(F.sum("e").alias("_")).drop("_")
-    cells = totals.join(others, keys).join(blocks, [*keys, own, other], "left")
-    seen = F.coalesce("e", F.lit(0)) + F.lit(alpha)
-    rate = F.log(seen / (F.col("total") + F.lit(alpha) * width))
-    rates = cells.groupBy(*keys, other).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(own).alias("label"), rate.alias("rate")))).alias("m")
+    rates = _log_rates(_blocks(state, other_sizes), own_sizes, other_sizes, alpha)
+    chosen, start = [], 0
+    for r, (own, other) in enumerate(zip(own_sizes, other_sizes)):
+        options = []
+        for a in range(own):
+            row = F.col("rates")[start + a]
+            fit = sum((F.col(f"c{r}_{b}") * row[b] for b in range(other)), F.lit(0.0))
+            options.append(F.struct(F.round(fit, 6).alias("fit"), F.lit(-a).alias("lower")))
+        chosen.append((-F.array_max(F.array(*options)).lower).cast("int"))
+        start += own
+    tallies = [c for c in state.columns if c.startswith("c")]
+    return (
+        state.join(rates, "sector")
+        .withColumn("new", F.array(*chosen))
+        .select(
+            "sector", node, *tallies, F.col("new").alias("labels"),
+            F.zip_with("labels", "new", lambda a, b: (a != b).cast("double")).alias("moved"),
+        )
     )
-    return rates.select(*keys, other, F.array(*[F.try_element_at("m", F.lit(b)) for b in range(width)]).alias("rates"))
 
 
-def _relabel(
-    counts: DataFrame, blocks: DataFrame, node: str, own: str, other: str, alpha: float, width: int
-) -> DataFrame:
-    """Give every node, in every run, the label under which its edges are most likely; ties to the lowest."""
-    rates = _log_rates(blocks, own, other, alpha, width)
-    # One sum per label: the scores of a node are plain aggregates, combined before the shuffle.
-    fits = counts.join(rates, ["sector", "run", other]).groupBy("sector", "run", node).agg(
-        *[F.sum(F.col("n") * F.col("rates")[b]).alias(f"f{b}") for b in range(width)]
-    )
-    scored = [F.struct(F.round(f"f{b}", 6).alias("fit"), F.lit(-b).alias("lower")) for b in range(width)]
-    best = F.array_max(F.array(*scored))
-    chosen = fits.select("sector", "run", node, (-best.lower).cast("int").alias(own))
-    per_node = chosen.groupBy("sector", node).agg(F.sort_array(F.collect_list(F.struct("run", own))).alias("r"))
-    return per_node.select("sector", node, F.col(f"r.{own}").alias(own))
+def _half_pass(edges, other, own, across, node, own_sizes, other_sizes, alpha) -> DataFrame:
+    """New labels of one side from the labels of the other."""
+    tally = _tally(edges, other, across, node, other_sizes)
+    state = cut(tally.join(own.select("sector", node, "labels").hint("shuffle_hash"), ["sector", node]))
+    return cut(_relabel(state, node, own_sizes, other_sizes, alpha))
 
 
 def _objective(blocks: DataFrame) -> DataFrame:
-    """Sum of e_rs ln(e_rs / (e_r e_s)) and the number of used groups, per sector and run."""
+    """Sum of e_rs ln(e_rs / (e_r e_s)) and the number of used groups, per sector and run.
+
+    ``blocks`` are those of the word side: a row per word group, edges by document group.
+    """
     keys = ["sector", "run"]
-    docs = blocks.groupBy(*keys, "doc_group").agg(F.sum("e").alias("e_r"))
-    words = blocks.groupBy(*keys, "word_group").agg(F.sum("e").alias("e_s"))
-    joined = blocks.join(docs, [*keys, "doc_group"]).join(words, [*keys, "word_group"])
+    cells = blocks.select(*keys, F.col("label").alias("s"), F.posexplode("edges").alias("r", "e")).where("e > 0")
+    words = cells.groupBy(*keys, "s").agg(F.sum("e").alias("e_s"))
+    docs = cells.groupBy(*keys, "r").agg(F.sum("e").alias("e_r"))
+    joined = cells.join(docs, [*keys, "r"]).join(words, [*keys, "s"])
     fit = F.sum(F.col("e") * F.log(F.col("e") / (F.col("e_r").cast("double") * F.col("e_s"))))
     return joined.groupBy(*keys).agg(
-        fit.alias("fit"),
-        F.countDistinct("doc_group").alias("used_docs"),
-        F.countDistinct("word_group").alias("used_words"),
+        fit.alias("fit"), F.countDistinct("r").alias("used_docs"), F.countDistinct("s").alias("used_words")
     )
 
 
@@ -107,32 +137,26 @@ def fit_runs(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All runs: (history of objectives, document labels, word labels), each with run and pass.
 
-    Labels travel as one array per node, a label per run, so the edges are joined once for all runs.
+    Every start and pair of group numbers is a run; labels travel as one array per node, a
+    label per run, so the edges are joined once for all runs.
     """
-    runs = [(seed, bd, bw) for seed in range(n_init) for bd, bw in group_numbers]
-    docs = cut(_start(edges.select("sector", "doc_id").distinct(), "doc_id", "doc_group", [(s, bd) for s, bd, _ in runs]))
-    words = cut(_start(edges.select("sector", "word").distinct(), "word", "word_group", [(s, bw) for s, _, bw in runs]))
-    max_docs, max_words = max(bd for _, bd, _ in runs), max(bw for _, _, bw in runs)
+    seeds = [seed for seed in range(n_init) for _ in group_numbers]
+    doc_sizes, word_sizes = (list(sizes) * n_init for sizes in zip(*group_numbers))
+    docs = cut(_start(edges.select("sector", "doc_id").distinct(), "doc_id", doc_sizes, seeds))
+    words = cut(_start(edges.select("sector", "word").distinct(), "word", word_sizes, seeds))
     history, doc_states, word_states = [], [], []
     for step in range(max_iter):
-        by_word_group = cut(_neighbour_counts(edges, words, "word", "doc_id", "word_group"))
-        blocks = _block_counts(by_word_group, docs, "doc_id", "doc_group", "word_group")
-        new_docs = cut(_relabel(by_word_group, blocks, "doc_id", "doc_group", "word_group", alpha, max_docs))
-        by_doc_group = cut(_neighbour_counts(edges, new_docs, "doc_id", "word", "doc_group"))
-        blocks = _block_counts(by_doc_group, words, "word", "word_group", "doc_group")
-        new_words = cut(_relabel(by_doc_group, blocks, "word", "word_group", "doc_group", alpha, max_words))
-        final = _block_counts(by_doc_group, new_words, "word", "word_group", "doc_group")
-        history.append(_objective(final).withColumn("pass", F.lit(step)))
-        doc_states.append(_by_run(new_docs, "doc_id", "doc_group").withColumn("pass", F.lit(step)))
-        word_states.append(_by_run(new_words, "word", "word_group").withColumn("pass", F.lit(step)))
-        changed = F.zip_with("doc_group", "new", lambda a, b: (a != b).cast("double"))
+        docs = _half_pass(edges, words, docs, "word", "doc_id", doc_sizes, word_sizes, alpha)
+        words = _half_pass(edges, docs, words, "doc_id", "word", word_sizes, doc_sizes, alpha)
+        numbered = F.lit(step).alias("pass")
+        history.append(_objective(_blocks(words, doc_sizes)).select("*", numbered))
+        doc_states.append(docs.select("sector", "doc_id", F.posexplode("labels").alias("run", "doc_group"), numbered))
+        word_states.append(words.select("sector", "word", F.posexplode("labels").alias("run", "word_group"), numbered))
         moved = (
-            docs.join(new_docs.withColumnRenamed("doc_group", "new"), ["sector", "doc_id"])
-            .select("sector", F.posexplode(changed).alias("run", "changed"))
-            .groupBy("sector", "run").agg(F.avg("changed").alias("moved"))
+            docs.select("sector", F.posexplode("moved").alias("run", "moved"))
+            .groupBy("sector", "run").agg(F.avg("moved").alias("moved"))
             .agg(F.max("moved")).first()[0]
         )
-        docs, words = new_docs, new_words
         if moved is None or moved < epsilon:
             break
     return tuple(reduce(DataFrame.unionByName, frames) for frames in (history, doc_states, word_states))
