@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sectorlens.operators.ranking import top_per_key
 from sectorlens.session import cut
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
+MAX_PIVOT_BYTES = 16 * 2**20  # pivots travel with the tasks
+SLICE_ROWS = 1024  # vectors compared with all pivots at a time
 DIGITS = 9  # similarities are compared to this many decimals, so equal vectors tie exactly
 SLACK = 1e-6
 
@@ -32,6 +34,12 @@ def _matrix(vectors: pd.Series, normalise: bool) -> np.ndarray:
     return matrix
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), SLICE_ROWS):
+            yield batch.iloc[start : start + SLICE_ROWS]
+
+
 def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     squares = (matrix**2).sum(1)[:, None] - 2 * matrix @ pivots.T + (pivots**2).sum(1)[None, :]
     return np.sqrt(np.maximum(squares, 0))
@@ -98,9 +106,9 @@ def knn_join(
     index = index.withColumn("vector", F.col("vector").cast("array<float>"))
     queries = queries.withColumn("vector", F.col("vector").cast("array<float>"))
 
-    total = index.count()
     if pivots is None:
-        pivots = min(MAX_PIVOTS, -(-total // block_rows))
+        size = index.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dim")).first()
+        pivots = min(-(-size.n // block_rows), MAX_PIVOT_BYTES // (8 * max(size.dim, 1)))
     # At most MAX_PIVOTS vectors come to the driver, whatever the size of the index.
     drawn = index.orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, MAX_PIVOTS))).collect()
     if not drawn:
@@ -111,7 +119,7 @@ def knn_join(
     if n_cells > 1:
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in _slices(batches):
                 if len(batch):
                     distances = _distances(_matrix(batch["vector"], normalise), centres)
                     cells = distances.argmin(1)
@@ -135,7 +143,7 @@ def knn_join(
 
     def visiting(bars: bool):
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in _slices(batches):
                 if batch.empty:
                     continue
                 groups = batch.groupby(by, sort=False) if by else [((), batch)]

@@ -29,15 +29,17 @@ def outline_fill(
 ) -> DataFrame:
     """Carry each level's heading to the rows below it and drop the heading rows.
 
-    A row with only one of code and name is a note and goes.
+    A row with only one of code and name is a note and goes. A row dropped at one level takes no
+    part in the levels below. Both follow from the row itself, so one pass fills all levels.
     """
-    for level in levels:
-        code, name = level, f"{level}_name"
-        rows = df.where(F.col(code).isNull() == F.col(name).isNull()).withColumn(
-            "_heading", F.col(code).isNotNull()
-        )
-        df = fill_down(rows, [code, name], row_no, keys, chunk_rows).where("not _heading").drop("_heading")
-    return df
+    left, shown = F.lit(True), {}
+    for code in levels:
+        name = f"{code}_name"
+        taking_part = left & (F.col(code).isNull() == F.col(name).isNull())
+        shown.update({c: F.when(taking_part, F.col(c)) for c in (code, name)})
+        left = taking_part & F.col(code).isNull()
+    rows = df.withColumns({**shown, "_left": left})
+    return fill_down(rows, list(shown), row_no, keys, chunk_rows).where("_left").drop("_left")
 
 
 def derive_subclass(
