@@ -117,15 +117,13 @@ def detect_phrases(corpus: DataFrame, threshold: float = 0.25, min_count: int =
     """
     accepted = accepted_phrases(corpus, threshold, min_count).select("first", "second")
     found = _pairs(corpus).join(accepted, ["first", "second"], "left_semi").select("org_id", "pos")
-    by_doc = W.partitionBy("org_id").orderBy("pos")
-    island = F.col("pos") - F.row_number().over(by_doc)
-    in_island = F.row_number().over(W.partitionBy("org_id", "island").orderBy("pos"))
+    island = F.col("pos") - F.row_number().over(W.partitionBy("org_id").orderBy("pos"))
     joined = (
         found.withColumn("island", island)
-        .withColumn("place", in_island)
-        .where("place % 2 = 1")
+        .groupBy("org_id", "island")
+        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
         .groupBy("org_id")
-        .agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+        .agg(F.sort_array(F.flatten(F.collect_list(F.sequence("first", "last", F.lit(2))))).alias("starts"))
     )
     # Tokens between two joins are copied as slices, so a document costs one pass.
     pieces = F.expr(

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from sectorlens.functions.text import token_count
 from sectorlens.operators.knn import knn_join
 from sectorlens.operators.lengths import cumulative_histogram, percentile_rank
-from sectorlens.operators.phrases import document_frequency
 from sectorlens.operators.sampling import first_rows, sample_exact
 
 
@@ -40,7 +39,8 @@ def embed_tokens(corpus: DataFrame, dim: int = 64, hashes: int = 4, seed: int =
             for i in range(hashes)
         ]
     )
-    weights = document_frequency(corpus).join(F.broadcast(documents)).select(
+    frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
+    weights = frequency.join(F.broadcast(documents)).select(
         "token", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), places.alias("places")
     )
     sums = (
