@@ -44,6 +44,21 @@ def sortable(row):
     return tuple((v is None, str(type(v)), str(v)) for v in row)
 
 
+# DuckDB's names of the Spark types that the queries return.
+TYPE_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT",
+    "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(con, df, sql) -> str | None:
+    """None when the columns have the same types on both sides."""
+    want = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    got = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    wrong = {c: (got.get(c), want.get(c)) for c in {*got, *want} if got.get(c) != want.get(c)}
+    return f"types {wrong}" if wrong else None
+
+
 def spark_rows(df):
     columns = sorted(df.columns)
     return columns, sorted(

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from compare import connect, difference, duck_rows, spark_rows
+from compare import connect, difference, duck_rows, spark_rows, type_difference
 
 import __spark_entry__ as entry
 
@@ -20,8 +20,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = spark_rows(QUERIES[name](spark, DIRECTORY))
+    df = QUERIES[name](spark, DIRECTORY)
+    got = spark_rows(df)
     if name in ORACLES:
+        assert type_difference(con, df, ORACLES[name]) is None
         assert difference(got, duck_rows(con, ORACLES[name])) is None
     else:
         assert got[1]
