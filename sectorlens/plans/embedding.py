@@ -14,6 +14,7 @@ from sectorlens.functions.text import token_count
 from sectorlens.operators.knn import knn_join
 from sectorlens.operators.lengths import cumulative_histogram, percentile_rank
 from sectorlens.operators.sampling import first_rows, sample_exact
+from sectorlens.session import cut
 
 
 def embed_tokens(corpus: DataFrame, dim: int = 64, hashes: int = 4, seed: int = 100) -> DataFrame:
@@ -43,19 +44,19 @@ def embed_tokens(corpus: DataFrame, dim: int = 64, hashes: int = 4, seed: int =
     weights = frequency.join(F.broadcast(documents)).select(
         "token", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"), places.alias("places")
     )
+    # Written first, so that the hashing is not repeated for every row of the join.
     sums = (
-        counts.join(weights, "token")
+        counts.join(cut(weights), "token")
         .select("org_id", (F.col("tf") * F.col("idf")).alias("w"), F.explode("places").alias("p"))
         .groupBy("org_id", "p.place")
         .agg(F.sum(F.col("w") * F.col("p.sign")).alias("v"))
     )
-    cells = sums.groupBy("org_id").agg(  # at most `dim` entries
-        F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("cells"),
+    cells = sums.groupBy("org_id").agg(
+        *[F.sum(F.when(F.col("place") == i, F.col("v")).otherwise(0.0)).alias(f"v{i}") for i in range(dim)],
         F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
     )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("cells", i), F.col("norm")), F.lit(0.0)).cast("float"),
+    vector = F.array(
+        *[F.coalesce(F.try_divide(f"v{i}", F.col("norm")), F.lit(0.0)).cast("float") for i in range(dim)]
     )
     return corpus.select("org_id").join(cells, "org_id", "left").select("org_id", vector.alias("embedding"))
 
