@@ -40,3 +40,27 @@ def binaries(parts: list[np.ndarray]) -> pa.Array:
 
 def read_binary(value: bytes, kind=np.uint64) -> np.ndarray:
     return np.frombuffer(value, kind)
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Yield ``(key, rows)`` for each run of rows with equal integer keys; the rows must be sorted by them."""
+    held: list[pa.RecordBatch] = []
+    current: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        places = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for low, high in zip(places[:-1], places[1:], strict=True):
+            key = tuple(int(c[low]) for c in columns)
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield current, pa.Table.from_batches(held)

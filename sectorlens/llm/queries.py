@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlens.llm import bpe, packing, secrets
+from sectorlens.llm import bpe, fingerprints, jaccard, language, neardup, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,23 @@ def op3(documents: DataFrame) -> DataFrame:
 @query("op9_packing", "documents")
 def op9(documents: DataFrame) -> DataFrame:
     return packing.pack(documents)
+
+
+@query("op4_jaccard_join", "documents")
+def op4(documents: DataFrame) -> DataFrame:
+    return jaccard.jaccard_components(documents)
+
+
+@query("op7_near_vectors", "embeddings")
+def op7(embeddings: DataFrame) -> DataFrame:
+    return neardup.near_vectors(embeddings)
+
+
+@query("op2_fingerprints", "documents")
+def op2(documents: DataFrame) -> DataFrame:
+    return fingerprints.fingerprints(documents)
+
+
+@query("op6_language", "documents")
+def op6(documents: DataFrame) -> DataFrame:
+    return language.predict_documents(documents)
