@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlens.llm import bpe, fingerprints, jaccard, language, neardup, packing, secrets
+from sectorlens.llm import bpe, fingerprints, jaccard, language, lines, neardup, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,22 @@ def op2(documents: DataFrame) -> DataFrame:
 @query("op6_language", "documents")
 def op6(documents: DataFrame) -> DataFrame:
     return language.predict_documents(documents)
+
+
+@query("op5_line_dedup", "documents")
+def op5(documents: DataFrame) -> DataFrame:
+    kept = lines.drop_recurring(documents, n_lines="n_lines", n_dropped="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query("op8_url_filter", "pages")
+def op8(pages: DataFrame) -> DataFrame:
+    return urls.judge(pages)
+
+
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    documents, labels = (spark.read.parquet(f"{directory}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.grade_documents(documents, labels)
+
+
+QUERIES["op10_quality"] = op10
