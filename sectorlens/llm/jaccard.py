@@ -38,7 +38,9 @@ from sectorlens.session import cut
 WORDS = 5
 PERCENT = 80
 LOW = 12  # shingles per class in the cheap pass
-FREQUENT = 256  # a shingle in more than one of this many texts is ordered last
+OFTEN = 3  # occurrences among COUNTED shingles from which a task reports a shingle
+COUNTED = 4_000_000
+FREQUENT = 500_000  # so many of the most frequent shingles are known by frequency
 RECORDS = 250_000  # tile records per bucket
 WIDEST = 8192  # bits of the widest signature
 
@@ -81,15 +83,26 @@ def band(n: int, percent: int = PERCENT) -> int:
 def sets_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Size, digest, signature, smallest shingles and compressed text per document.
 
-    The first row of a slice also carries the shingles that are frequent in that slice.
+    Some rows, with a null doc_id and size -1, carry shingles that a task met often.
     """
 
+    def frequent(seen: list[np.ndarray]):
+        values, counts = np.unique(np.concatenate(seen), return_counts=True)
+        often = counts >= OFTEN
+        empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())]
+        lists = [pa.array([x[often].astype(np.int64)], pa.list_(pa.int64())) for x in (values.view(np.int64), counts)]
+        return pa.RecordBatch.from_arrays([empty[0], pa.array([-1], pa.int64()), *empty[1:], *lists], names)
+
     def rows(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
+        seen, held = [], 0
         for batch, data, bounds in text_slices(batches):
             sets = shingle_sets(data, bounds, k)
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(4, len(sets) // FREQUENT)
+            seen += sets
+            held += sum(len(x) for x in sets)
+            if held > COUNTED:
+                yield frequent(seen)
+                seen, held = [], 0
             marks, content = bounds.tolist(), data.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,11 +113,12 @@ def sets_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFram
                     pa.array([signature(s) for s in sets], pa.binary()),
                     pa.array([s[:LOW].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([press.compress(content[a:b]) for a, b in zip(marks[:-1], marks[1:], strict=True)], pa.binary()),
-                    pa.array([values[often].view(np.int64), *[None] * (len(sets) - 1)], pa.list_(pa.int64())),
-                    pa.array([counts[often], *[None] * (len(sets) - 1)], pa.list_(pa.int64())),
+                    *[pa.nulls(len(sets), pa.list_(pa.int64()))] * 2,
                 ],
                 names,
             )
+        if seen:
+            yield frequent(seen)
 
     schema = (
         "doc_id long, n long, digest binary, band int, signature binary, low array<long>, packed binary, "
@@ -166,20 +180,17 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     )
 
 
-def frequent_shingles(sets: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the frequent shingles, and a rank class of how frequent each is.
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles, at most `FREQUENT`, and a rank class of their counts.
 
-    The counts add up to the sizes of the sets at most, so there are no more than
-    2 * FREQUENT * (mean size) of them, whatever the number of documents.
+    They only set the common order of shingles: results don't depend on them, the sizes of tiles do.
     """
-    pairs = sets.where("frequent is not null").select(F.explode(F.arrays_zip("frequent", "times")).alias("x"))
-    found = (
-        pairs.groupBy(F.col("x.frequent").alias("h")).agg(F.sum("x.times").alias("t"))
-        .where(F.col("t") * 2 * FREQUENT >= n_rows).toPandas()
-    )
+    pairs = sets.where("n < 0").select(F.explode(F.arrays_zip("frequent", "times")).alias("x"))
+    counts = pairs.groupBy(F.col("x.frequent").alias("h")).agg(F.sum("x.times").alias("t"))
+    found = counts.orderBy(F.desc("t"), "h").limit(FREQUENT).toPandas()
     hashes = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.floor(np.log2(found["t"].to_numpy(np.float64)[order] + 1)).astype(np.uint64)
+    return hashes[order], np.floor(2 * np.log2(found["t"].to_numpy(np.float64)[order] + 1)).astype(np.uint64)
 
 
 def _prefix(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
@@ -194,7 +205,8 @@ def _prefix(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, perce
     return shingles[:size]
 
 
-RECORD = np.dtype([("key", np.uint64), ("n", np.int64), ("rep", np.int64), ("component", np.int64)])
+#: The key is half of the shingle's hash, as a bucket has few enough shingles; a clash only adds a candidate.
+RECORD = np.dtype([("key", np.uint32), ("n", np.int64), ("rep", np.int64), ("component", np.int64)])
 
 
 def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, percent: int) -> DataFrame:
@@ -211,10 +223,11 @@ def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, perc
                 keys = [_prefix(s, frequent, times, percent) for s in sets]
                 lengths = np.array([len(x) for x in keys])
                 records = np.zeros(lengths.sum(), RECORD)
-                records["key"] = np.concatenate(keys)
+                shingles = np.concatenate(keys)
+                records["key"] = shingles >> np.uint64(32)
                 for name, column in (("n", "n"), ("rep", "rep"), ("component", "component")):
                     records[name] = np.repeat(batch.column(column).to_numpy(zero_copy_only=False), lengths)
-                bucket = (records["key"] % np.uint64(buckets)).astype(np.int64)
+                bucket = (shingles % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 records, bucket = records[order], bucket[order]
                 begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
@@ -233,8 +246,10 @@ def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, perc
 def _unpacked(stored: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
     raw = open_.decompress(stored)
     records = np.zeros(len(raw) // RECORD.itemsize, RECORD)
-    for i, name in enumerate(RECORD.names):
-        records[name] = np.frombuffer(raw, RECORD[name], len(records), 8 * i * len(records))
+    at = 0
+    for name in RECORD.names:
+        records[name] = np.frombuffer(raw, RECORD[name], len(records), at)
+        at += RECORD[name].itemsize * len(records)
     return records
 
 
@@ -316,7 +331,8 @@ def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per document; see the module's text."""
     spark = docs.sparkSession
-    sets = cut(sets_of(docs, k, percent))
+    stored = cut(sets_of(docs, k, percent))
+    sets = stored.where("n >= 0")
     named = sets.where("doc_id is not null and n > 0")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = cut(sets.select("doc_id", "n", "digest").join(reps, "digest", "left").drop("digest"))
@@ -324,22 +340,26 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     # Rows that share a doc_id but not a text: tie their classes.
     ids = owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same_id = owner.join(ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    classes = named.join(reps.select("digest", "rep"), "digest").where("doc_id = rep")
-    classes = classes.select("rep", "n", "band", "signature", "low", "packed")
-    light = cut(classes.select("rep", "n", "band", "signature", "low").distinct())
+    chosen = owner.where("doc_id = rep").select("rep").distinct()
+    # Joined by id and not by digest, so that the texts move once per use.
+    texts = named.select(F.col("doc_id").alias("rep"), "n", "signature", "packed")
+    light = cut(
+        named.select(F.col("doc_id").alias("rep"), "n", "band", "signature", "low").join(chosen, "rep").distinct()
+    )
 
-    first = cut(verify(leader_pairs(light), classes.select("rep", "n", "signature", "packed"), k, percent).union(same_id))
+    likely = cut(within_bound(leader_pairs(light), light, percent))
+    first = cut(verify(likely, texts, k, percent).union(same_id))
     known = components(first)
 
     sizes = light.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     expected = sizes[0] + (100 - percent) * sizes[1] // 100
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // RECORDS)
-    frequent, times = frequent_shingles(sets, sets.count())
-    placed = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    frequent, times = frequent_shingles(stored)
+    placed = chosen.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep")).join(texts.drop("signature"), "rep")
     tiles = tile_records(placed, frequent, times, buckets, k, percent).repartition(buckets, "bucket")
     pairs = cut(within_bound(candidate_pairs(tiles, percent), light, percent))
-    second = cut(verify(pairs, classes.select("rep", "n", "signature", "packed"), k, percent))
+    second = cut(verify(pairs, texts, k, percent))
 
     total = known if second.isEmpty() else components(
         known.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second)
