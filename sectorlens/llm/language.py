@@ -19,12 +19,11 @@ training) language aren't read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
@@ -99,12 +98,11 @@ class Lattice:
         alpha[0] = 1
         for end, step in enumerate(self.steps, 1):
             for width, piece in enumerate(step, 1):
-                n, known = len(piece), np.flatnonzero(piece >= 0)
+                known = np.flatnonzero(piece >= 0)
                 alpha[end, known] += alpha[end - width, known] * table[piece[known]]
                 if width == 1:
                     other = np.flatnonzero(piece < 0)
                     alpha[end, other] += alpha[end - 1, other] * UNKNOWN
-                del n
         return alpha
 
     def log_probability(self, table: np.ndarray) -> np.ndarray:
@@ -154,15 +152,15 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     def rows(batches):
         for batch, _, _ in text_slices(batches):
-            counts = Counter()
+            by_lang: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                counts.update((lang, w) for w in words_of(text))
-            yield pa.RecordBatch.from_pandas(
-                pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}),
-                schema, preserve_index=False,
-            )
+                by_lang[lang].update(words_of(text))
+            for lang, counts in by_lang.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())],
+                    ["lang", "word", "n"],
+                )
 
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
     chosen = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return chosen.mapInArrow(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -200,6 +198,27 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> tuple
     return languages, table
 
 
+class WordLogs:
+    """Log probabilities of the words met so far in each language; emptied when there are too many."""
+
+    def __init__(self, table: np.ndarray, path: str, most: int = 300_000):
+        self.table, self.path, self.most = table, path, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.logs = np.zeros((0, self.table.shape[1]))
+
+    def of(self, texts: list[list[str]]) -> None:
+        """Make sure that all words of some texts have a place."""
+        unique = dict.fromkeys(chain.from_iterable(texts))
+        if len(self.place) + len(unique) > self.most:
+            self.clear()
+        new = [w for w in unique if w not in self.place]
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.logs = np.concatenate([self.logs, Lattice(new, self.path).log_probability(self.table)])
+
+
 def identify(
     docs: DataFrame, languages: list[str], table: np.ndarray, path: str | None = None,
     id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
@@ -209,17 +228,18 @@ def identify(
     names = [id_col, *keep]
 
     def rows(batches):
+        known = WordLogs(table, path)
         for batch, _, _ in text_slices(batches):
             words = [words_of(t) for t in batch.column("text").to_pylist()]
-            unique = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-            per_word = Lattice(list(unique), path).log_probability(table)
+            known.of(words)
+            place = known.place.__getitem__
             chosen, score = [], []
             for own in words:
                 if not own or not languages:
                     chosen.append(UNDECIDED)
                     score.append(0.0)
                     continue
-                logs = per_word[np.fromiter(map(unique.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                logs = known.logs[np.fromiter(map(place, own), np.int64, len(own))].sum(axis=0)
                 shares = np.exp(logs - logs.max())
                 chosen.append(languages[int(np.argmax(logs))])
                 score.append(float(shares.max() / shares.sum()))
