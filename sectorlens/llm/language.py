@@ -64,7 +64,8 @@ def pieces_of(path: str) -> tuple[np.ndarray, np.ndarray]:
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
     found = WORD.findall(text.lower()) if text else []
-    return [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in found]
+    letters = (w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in found)
+    return [w for w in letters if w]
 
 
 class Lattice:
