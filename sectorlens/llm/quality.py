@@ -1,7 +1,7 @@
 """Quality by ordinal regression: one weight per hashed word, ordered thresholds between the grades.
 
 The cumulative-link model says P(grade >= k) = sigmoid(score - threshold_k) with the same score for
-all k: a sum of weights of a text's distinct hashed words, and of a few shares (signs, digits,
+all k: a sum of weights of a text's distinct hashed words and word beginnings, and of a few shares (signs, digits,
 capitals) and the length. Expected grade and the probability of the highest grade follow.
 
 Words are hashed into `BUCKETS` buckets. The model is fitted on at most `SAMPLE` labelled documents
@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 
 from sectorlens.llm.arrow import text_slices
 from sectorlens.llm.language import held_out
-from sectorlens.llm.words import _LOWER, _SPACE, span_hashes
+from sectorlens.llm.words import _LOWER, _SPACE, mix, span_hashes
 
 BUCKETS = 1 << 18
 SAMPLE = 8192
 GRADES = 3
-LEAST_TEXTS = 3  # texts of the sample that a bucket must occur in
-STEPS, RATE, DECAY = 300, 0.05, 2e-5
+STEM = 6  # bytes of a longer word that count as a word of their own
+LEAST_TEXTS = 8  # texts of the sample that a bucket must occur in
+STEPS, RATE, DECAY = 300, 0.05, 1e-4
 SHARES = 4
 _KIND = np.full(256, 3, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign
 _KIND[_SPACE] = 0
@@ -54,8 +55,11 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     word = kind[starts] > 0
     starts, ends = starts[word], ends[word]
     text = np.searchsorted(bounds, starts, "right") - 1
-    code = (span_hashes(_VALUE[data], starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
-    own = np.unique(text * BUCKETS + code)
+    long = ends - starts > STEM
+    marked = _VALUE[data]
+    hashes = np.r_[span_hashes(marked, starts, ends), mix(span_hashes(marked, starts[long], starts[long] + STEM))]
+    code = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    own = np.unique(np.r_[text, text[long]] * BUCKETS + code)
     length = np.maximum(np.diff(bounds), 1)
 
     def share(mask: np.ndarray) -> np.ndarray:
