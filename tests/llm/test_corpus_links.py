@@ -74,20 +74,20 @@ def made_documents():
     return list(enumerate(docs, 50))
 
 
-def test_jaccard_equals_all_pairs(spark):
+@pytest.mark.parametrize("block", [500, 3])
+def test_jaccard_equals_all_pairs(spark, block):
     docs = made_documents()
     table = clashing(spark.createDataFrame(docs, "doc_id long, text string")).repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table, block=block).collect()}
     want = plain_links(docs)
     assert got == want
     assert len({c for _, c in want.values()}) < len(want)
 
 
-def test_jaccard_needs_no_leaders(spark, monkeypatch):
-    """The complete pass finds every link by itself, and frequent shingles don't change the result."""
+def test_jaccard_without_known_frequencies(spark, monkeypatch):
+    """The order of shingles doesn't change the result."""
     docs = made_documents()
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "leader_pairs", lambda light: light.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false"))
     monkeypatch.setattr(jaccard, "frequent_shingles", lambda sets: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table).collect()}
     assert got == plain_links(docs)
@@ -108,12 +108,15 @@ def test_jaccard_edge_cases(spark):
 
 def test_signatures_bound_the_overlap():
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        a, b = (np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(2))
-        common = len(np.intersect1d(a, b))
-        assert jaccard.overlap_bound(jaccard.signature(a), jaccard.signature(b), len(a), len(b)) >= common
-    half = jaccard.signature(np.arange(500, dtype=np.uint64))
-    assert jaccard.overlap_bound(half, jaccard.signature(np.arange(400, 900, dtype=np.uint64)), 500, 500) < 400
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
+    bits, n = jaccard.signatures(sets), np.array([len(s) for s in sets])
+    for i, one in enumerate(sets):
+        bounds = jaccard.overlap_bounds(bits[i], bits, int(n[i]), n)
+        assert all(bound >= len(np.intersect1d(one, other)) for bound, other in zip(bounds, sets))
+        assert bounds[i] == n[i]
+    far = [np.arange(500, dtype=np.uint64), np.arange(400, 900, dtype=np.uint64)]
+    bits = jaccard.signatures(far)
+    assert jaccard.overlap_bounds(bits[0], bits[1:], 500, np.array([500]))[0] == 100
 
 
 def test_shingles_cut_at_texts():
