@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.llm.arrow import text_slices
-from sectorlens.llm.words import span_hashes
+from sectorlens.llm.words import hashes_between, running_sums, span_hashes
 from sectorlens.session import cut
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -64,6 +64,8 @@ def pieces_of(path: str) -> tuple[np.ndarray, np.ndarray]:
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
     found = WORD.findall(text.lower()) if text else []
+    if "".join(found).isalpha():
+        return found
     letters = (w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in found)
     return [w for w in letters if w]
 
@@ -80,6 +82,7 @@ class Lattice:
         self.n_words = len(words)
         self.sizes = np.array([len(p) for _, p in parts], np.int64)
         flat = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sums = running_sums(flat)
         starts = np.cumsum(self.sizes) - self.sizes
         #: at [end][width]: the parts, a leading range since they are sorted by length, and each one's piece or -1.
         self.steps: list[list[np.ndarray]] = []
@@ -88,7 +91,7 @@ class Lattice:
             step = []
             for width in range(1, min(end, WIDEST) + 1):
                 at = starts[:n] + end - width
-                h = span_hashes_at(flat, at, width)
+                h = hashes_between(sums, at, at + width)
                 place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 step.append(np.where(hashes[place] == h, place, -1))
             self.steps.append(step)
@@ -111,7 +114,9 @@ class Lattice:
         out = np.zeros((self.n_words, table.shape[1]))
         if len(self.sizes):
             alpha = self.forward(table)
-            np.add.at(out, self.owner, np.log(alpha[self.sizes, np.arange(len(self.sizes))]))
+            logs = np.log(alpha[self.sizes, np.arange(len(self.sizes))])
+            for column in range(table.shape[1]):
+                out[:, column] = np.bincount(self.owner, logs[:, column], self.n_words)
         return out
 
     def expected(self, column: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -135,10 +140,6 @@ class Lattice:
         return out
 
 
-def span_hashes_at(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    return span_hashes(flat, starts, starts + width) if len(starts) else np.zeros(0, np.uint64)
-
-
 def training_rows(docs: DataFrame) -> Column:
     """Three rows in four, by a checksum of the id; the others are held out."""
     return ~held_out()

@@ -39,14 +39,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``values[start:end]`` for each span, whatever its position."""
-    up, down = powers(len(values) + 1)
+def running_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the weighted values before each place, from which the hash of any span follows."""
+    up, _ = powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values + np.uint64(1)) * up[: len(values)], out=total[1:])
+    return total
+
+
+def hashes_between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = powers(len(total))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each span, whatever its position."""
+    return hashes_between(running_sums(values), starts, ends)
+
+
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs without blanks, and the first word of each text (n + 1 places).
 
