@@ -9,7 +9,7 @@ from sectorlens.functions import names as n
 from sectorlens.operators import matching as m
 from sectorlens.plans.name_matching import match_names
 
-BUCKET_PAIRS = 2000
+BLOCK = 50
 HOT_PAIRS = 20000
 K = 10
 
@@ -61,36 +61,20 @@ def f5(t):
 PERM_SQL = "[" + ", ".join(f"{{'a': {a}::bigint, 'b': {b}::bigint}}" for a, b in n.permutations(64)) + "]"
 
 
-def lsh_sql(bucket_pairs: int) -> str:
+def lsh_sql() -> str:
     parts = []
     for side in ("x", "y"):
         parts.append(f"""s{side} as (
           select {side}, list_transform({PERM_SQL}, lambda s: list_min(list_transform(h, lambda v: (v * s.a + s.b) % {n.PRIME}))) as sig
           from (select {side}, list_transform({shingle_sql('name')}, lambda s: ('0x' || substr(md5(s), 1, 8))::bigint % {n.PRIME}) as h from {side}s)),
-        bk{side} as (
-          select {side}, band, {', '.join(
-            f"array_to_string(list_slice(list_concat(sig, sig), band * 4 + 1, band * 4 + {4 * w}), ',') as k{i}"
-            for i, w in enumerate((1, 4, 16)))}
-          from s{side}, range(16) r(band))""")
-    for i in (0, 1):
-        src = "" if i == 0 else str(i)
-        key = f"band, k{i}"
-        parts.append(f"""z{i} as (
-          select band, k{i}, nx * ny > {bucket_pairs} as big
-          from (select {key}, count(*) as nx from bkx{src} group by all)
-          join (select {key}, count(*) as ny from bky{src} group by all) using ({key}))""")
-        parts.append(f"""p{i} as (
-          select x, y from z{i} join bkx{src} using ({key}) join bky{src} using ({key}) where not big)""")
-        for side in ("x", "y"):
-            parts.append(f"bk{side}{i + 1} as (select b.* from bk{side}{src} b join z{i} using ({key}) where big)")
-    parts.append("p2 as (select x, y from bkx2 join bky2 using (band, k2))")
-    parts.append("lsh as (select x, y from p0 union select x, y from p1 union select x, y from p2)")
-    return ",\n".join(parts)
-
-
-@query("j10_lsh_candidates", f"with {SIDES}, {lsh_sql(BUCKET_PAIRS)} select x, y from lsh")
+        b{side} as (
+          select {side}, band, array_to_string(list_slice(sig, band * 4 + 1, band * 4 + 4), ',') as key from s{side}, range(16) r(band))""")
+    return ",\n".join([*parts, "lsh as (select distinct x, y from bx join b_y using (band, key))".replace("b_y", "by_")]).replace("by as (", "by_ as (")
+
+
+@query("j10_lsh_candidates", f"with {SIDES}, {lsh_sql()} select x, y from lsh")
 def j10(t):
-    return m.lsh_candidates(*sides(t), bucket_pairs=BUCKET_PAIRS)
+    return m.lsh_candidates(*sides(t), block=BLOCK)
 
 
 # Cosine: the SQL scores every pair that shares a word.
@@ -115,14 +99,14 @@ def j11(t):
     return m.cosine_candidates(m.tfidf_vectors(*sides(t), hot_pairs=HOT_PAIRS), K)
 
 
-UNION_SQL = f"""{lsh_sql(BUCKET_PAIRS)}, {TOP_SQL}, pairs as (select x, y from lsh union select x, y from top)"""
+UNION_SQL = f"""{lsh_sql()}, {TOP_SQL}, pairs as (select x, y from lsh union select x, y from top)"""
 
 
 def candidates(t: Tables):
     left, right = sides(t)
     vectors = m.tfidf_vectors(left, right, hot_pairs=HOT_PAIRS)
     return m.union_candidates(
-        m.lsh_candidates(left, right, bucket_pairs=BUCKET_PAIRS), m.cosine_candidates(vectors, K)
+        m.lsh_candidates(left, right, block=BLOCK), m.cosine_candidates(vectors, K)
     ), vectors
 
 
@@ -161,8 +145,13 @@ def f9(t):
     f"""with {SIDES}, {SCORED_SQL}, best as (
       select x, y, sim_mean from scored where sim_mean >= 50
       qualify row_number() over (partition by y order by sim_mean desc, x) = 1)
-    select b.x, s.s_suppkey as y, sim_mean from best b join ys using (y)
+    select sim_mean, s.s_suppkey as org_id, s_name || ' (' || s_nationkey || ')' as org_name, c_custkey as company_number,
+        c_name || case when c_acctbal > 5000 then ' Ltd.' else '' end as company_name
+      from best b join ys using (y) join customer on c_custkey = b.x
       join supplier s on {clean_sql("s_name || ' (' || s_nationkey || ')'")} = ys.name""",
 )
 def t4(t):
-    return match_names(companies(t), orgs(t), top_k=K, bucket_pairs=BUCKET_PAIRS, hot_pairs=HOT_PAIRS)
+    named = companies(t).withColumnsRenamed({"x": "company_number", "name": "company_name"})
+    return match_names(
+        named, orgs(t).withColumnsRenamed({"y": "org_id", "name": "org_name"}), clean=True, top_k=K, hot_pairs=HOT_PAIRS
+    )

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.catalog.registry import Tables, query
 from sectorlens.operators import official, outline
 from sectorlens.plans.hierarchy import code_hierarchy
-from sectorlens.session import scratch_path
+from sectorlens.session import cut, scratch_path
 from sectorlens.sources import sheets
 
-# The order years of the test tables, the last with a note in its header.
+# The order years of the test tables, the last with a note in its header.
 YEARS = [str(y) for y in range(1995, 2002)]
 HEADERS = [*YEARS[:-1], f"{YEARS[-1]}\n[note 3]"]
 ID_HEADERS = ["ITL1 Region", "LA code", "LA name"]
@@ -172,7 +174,7 @@ INDICATOR_SQL = """select year(ts)::int as date, 'user ' || user_id as geography
 
 @query("p2_clean_indicator", INDICATOR_SQL.format(source="aps", kind="click"))
 def p2(t):
-    return official.clean_indicator(extract(t, True), "click", "VARIABLE_NAME", "aps")
+    return official.clean_indicator(extract(t, True), {"MEASURES_NAME": "click"}, "VARIABLE_NAME", source="aps")
 
 
 @query(
@@ -187,8 +189,8 @@ def s3(t):
 
 def indicators(t: Tables) -> DataFrame:
     return official.union_indicators(
-        official.clean_indicator(extract(t, True), "click", "VARIABLE_NAME", "aps"),
-        official.clean_indicator(extract(t, False), "view", "VARIABLE_NAME", "ashe"),
+        official.clean_indicator(extract(t, True), {"MEASURES_NAME": "click"}, "VARIABLE_NAME", source="aps"),
+        official.clean_indicator(extract(t, False), {"MEASURES_NAME": "view"}, "VARIABLE_NAME", source="ashe"),
     )
 
 
@@ -357,6 +359,8 @@ def s8(t):
     return outline.level_names(code_hierarchy(outline_sheet(t)), "row_no")
 
 
-@query("s9_level_lookup", f"with {NAMES_SQL} select code, name from names where level = 5")
+@query("s9_level_lookup", f"with {NAMES_SQL} select level, code, name from names")
 def s9(t):
-    return outline.level_lookup(outline.level_names(code_hierarchy(outline_sheet(t)), "row_no"), 5)
+    names = cut(outline.level_names(code_hierarchy(outline_sheet(t)), "row_no"))
+    each = [outline.level_lookup(names, i).select(F.lit(i).alias("level"), "code", "name") for i in range(1, 6)]
+    return reduce(DataFrame.unionByName, each)

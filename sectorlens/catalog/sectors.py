@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.catalog.registry import Tables, query
-from sectorlens.catalog.text import CORPUS, corpus
+from sectorlens.catalog.text import CORPUS, corpus, described
 from sectorlens.functions import text as x
 from sectorlens.operators import cocluster as cc
 from sectorlens.operators import corpus as c
 from sectorlens.operators import graph as g
+from sectorlens.plans.descriptions import tokenized
 from sectorlens.session import cut, scratch_path
 from sectorlens.sources import store
 
@@ -39,9 +40,14 @@ def p11(t):
     return shown(corpus(t).withColumn("tokens", x.strip_placeholders("tokens")))
 
 
+def matched_corpus(t: Tables) -> DataFrame:
+    """Tokens of the matched documents only, chosen before tokenising."""
+    return cut(tokenized(c.matched_only(described(t), sic4(t))))
+
+
 @query("j6_matched_only", f"with {CORPUS}, {SIC4} select org_id, {TEXT} from corpus semi join sic4 using (org_id)")
 def j6(t):
-    return shown(c.matched_only(corpus(t), sic4(t)))
+    return shown(matched_corpus(t))
 
 
 @query("a1_big_sectors", f"with {SIC4}, {BIG} select sector, n from big")
@@ -55,7 +61,7 @@ def a1(t):
     from corpus join sic4 using (org_id) join big on sector = sic4""",
 )
 def j7(t):
-    return shown(c.tokens_by_sector(corpus(t), sic4(t), c.big_sectors(sic4(t), MIN_SIZE)))
+    return shown(c.tokens_by_sector(matched_corpus(t), sic4(t), c.big_sectors(sic4(t), MIN_SIZE)))
 
 
 CORPORA = f"""{CORPUS}, {SIC4}, {STRIPPED}, {BIG}, corpora as (
@@ -63,7 +69,7 @@ CORPORA = f"""{CORPUS}, {SIC4}, {STRIPPED}, {BIG}, corpora as (
 
 
 def corpora(t: Tables) -> DataFrame:
-    return c.sector_corpora(sic4(t), corpus(t), MIN_SIZE)
+    return c.sector_corpora(sic4(t), matched_corpus(t), MIN_SIZE)
 
 
 @query("t14_sector_corpora", f"with {CORPORA} select sector, org_id, {TEXT} from corpora")
@@ -396,12 +402,116 @@ def s14_sectors(t):
     return store.text_sectors_of(store.load_table(t.spark, path), "assigned_0.5")
 
 
-# Co-clustering has no SQL form; tests check it on planted groups.
+# Co-clustering: the SQL unrolls two passes of two runs.
+
+RUNS = ((0, 2, 2), (1, 4, 4))
+ALPHA = 1e-9
+
+
+def _starts_sql(name: str, nodes: str, node: str, place: int) -> str:
+    each = " union all ".join(
+        f"select sector, {node}, {run[0]} as run, ('0x' || substr(md5('0:' || {node}), 1, 7))::bigint % {run[place]} as label from {nodes}"
+        for run in RUNS
+    )
+    return f"{name} as ({each})"
+
+
+def _half_sql(name: str, other: str, own: str, across: str, node: str, place: int) -> str:
+    """New labels of the nodes from those across the edges; the most likely, then the lowest."""
+    sizes = ", ".join(f"({run[0]}, {run[place]})" for run in RUNS)
+    return f"""{name}_t as (
+  select sector, run, {node}, label as other, sum(cnt)::bigint as e from edges join {other} using (sector, {across}) group by all),
+{name}_b as (
+  select sector, run, o.label, t.other, sum(e) as e from {name}_t t join {own} o using (sector, run, {node}) group by all),
+{name}_n as (select sector, run, label, sum(e) as total from {name}_b group by all),
+{name}_r as (
+  select n.sector, n.run, n.label, g.other, ln((coalesce(b.e, 0) + {ALPHA}) / (n.total + {ALPHA} * s.size)) as rate
+  from {name}_n n join (values {sizes}) s(run, size) on s.run = n.run
+    join lateral (select unnest(range(0, s.size)) as other) g on true
+    left join {name}_b b on b.sector = n.sector and b.run = n.run and b.label = n.label and b.other = g.other),
+{name}_f as (
+  select t.sector, t.run, {node}, r.label, round(sum(t.e * r.rate), 6) as fit
+  from {name}_t t join {name}_r r on r.sector = t.sector and r.run = t.run and r.other = t.other group by all),
+{name} as (
+  select sector, run, {node}, label from {name}_f
+  qualify row_number() over (partition by sector, run, {node} order by fit desc, label) = 1)"""
+
+
+def _factorial_sql(n: str) -> str:
+    return f"case when {n} > 0 then {n} * ln({n}) - {n} + ln({n} * 2 * pi()) / 2 else 0 end"
+
+
+def _choose_sql(n: str, k: str) -> str:
+    return f"({_factorial_sql(n)} - ({_factorial_sql(k)}) - ({_factorial_sql(f'({n} - {k})')}))"
+
+
+def _length_sql(name: str, docs: str, words: str) -> str:
+    """Description length of every run."""
+    sides = ", ".join(
+        f"""{name}_{side} as (
+  select sector, run, count(*) as used, {_factorial_sql('sum(n)')} - sum({_factorial_sql('n')}) + {_choose_sql('(sum(n) - 1)', '(count(*) - 1.0::double)')} as cost
+  from (select sector, run, label, count(*)::double as n from {labels} group by all) group by all)"""
+        for side, labels in (("sd", docs), ("sw", words))
+    )
+    return f"""{name}_c as (
+  select sector, run, w.label as s, d.label as r, sum(cnt)::double as e
+  from edges join {words} w using (sector, word) join {docs} d using (sector, run, doc_id) group by all),
+{name}_e as (
+  select *, sum(e) over (partition by sector, run, s) as e_s, sum(e) over (partition by sector, run, r) as e_r from {name}_c),
+{name}_g as (select sector, run, sum(e * ln(e / (e_r * e_s))) as fit, sum(e) as edges from {name}_e group by all),
+{sides},
+{name} as (
+  select g.sector, g.run, fit, d.used as used_docs, w.used as used_words,
+    round(d.cost + w.cost + {_choose_sql('(d.used * w.used + edges - 1)', 'edges')} - fit, 6) as description_length
+  from {name}_g g join {name}_sd d using (sector, run) join {name}_sw w using (sector, run))"""
+
+
+COCLUSTERED = ",\n".join(
+    [
+        EDGES,
+        _starts_sql("d0", "(select distinct sector, doc_id from edges)", "doc_id", 1),
+        _starts_sql("w0", "(select distinct sector, word from edges)", "word", 2),
+        _half_sql("d1", "w0", "d0", "word", "doc_id", 2), _half_sql("w1", "d1", "w0", "doc_id", "word", 1),
+        _half_sql("d2", "w1", "d1", "word", "doc_id", 2), _half_sql("w2", "d2", "w1", "doc_id", "word", 1),
+        _length_sql("l1", "d1", "w1"), _length_sql("l2", "d2", "w2"),
+        "lengths as (select 0 as pass, * from l1 union all select 1, * from l2)",
+        """chosen as (select * from lengths qualify row_number() over (partition by sector order by description_length, run, pass desc) = 1)""",
+        """docs as (select 0 as pass, * from d1 union all select 1, * from d2)""",
+        """words_of as (select 0 as pass, * from w1 union all select 1, * from w2)""",
+    ]
+)
+
+
+def two_passes(t: Tables):
+    return cc.fit_runs(edges(t), [run[1:] for run in RUNS], max_iter=2, epsilon=0.0)
+
+
+@query("t6_first_labels", f"with {COCLUSTERED} select sector, run, doc_id, label::int as doc_group from d1")
+def t6_labels(t):
+    return two_passes(t)[1].where("pass = 0").select("sector", "run", "doc_id", "doc_group")
 
 
-@query("t6_cocluster")
+@query(
+    "t6_description_lengths",
+    f"""with {COCLUSTERED} select sector, run, pass, used_docs, used_words, round(fit, 3) as fit,
+      round(description_length, 3) as description_length from lengths""",
+)
+def t6_lengths(t):
+    history = two_passes(t)[0].withColumns({c: F.round(c, 3) for c in ("fit", "description_length")})
+    return history.select("sector", "run", "pass", "used_docs", "used_words", "fit", "description_length")
+
+
+@query(
+    "t6_cocluster",
+    f"""with {COCLUSTERED}
+    select sector, 'doc' as kind, doc_id::varchar as node, (dense_rank() over (partition by sector order by label) - 1)::int as grp
+    from docs semi join chosen using (sector, run, pass)
+    union all
+    select sector, 'word', word, (dense_rank() over (partition by sector order by label) - 1)::int
+    from words_of semi join chosen using (sector, run, pass)""",
+)
 def t6(t):
-    docs, words = cc.cocluster(edges(t), group_numbers=((2, 2), (4, 4)), max_iter=5)
+    docs, words, _ = cc.cocluster(edges(t), [run[1:] for run in RUNS], max_iter=2, epsilon=0.0)
     return docs.select("sector", F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("node"), F.col("doc_group").alias("grp")).unionByName(
         words.select("sector", F.lit("word").alias("kind"), F.col("word").alias("node"), F.col("word_group").alias("grp"))
     )

@@ -20,11 +20,16 @@ def strip_html_sql(column: str) -> str:
     text = column
     for pattern in x.HTML_PATTERNS:
         text = f"regexp_replace({text}, {quoted(pattern)}, '', 'g')"
-    part = "lambda p: case when regexp_matches(p, '^[0-9]{1,7};') then chr(regexp_extract(p, '^([0-9]{1,7});', 1)::int) || regexp_replace(p, '^[0-9]{1,7};', '') else '&#' || p end"
-    text = f"list_aggregate(list_concat([string_split({text}, '&#')[1]], list_transform(string_split({text}, '&#')[2:], {part})), 'string_agg', '')"
-    for reference, character in x.ENTITIES:
-        text = f"replace({text}, {quoted(reference)}, {quoted(character)})"
-    return text
+    names = "[" + ", ".join(quoted(n) for n in x.REFERENCES) + "]"
+    characters = "[" + ", ".join(quoted(c) for c in x.REFERENCES.values()) + "]"
+    name = f"regexp_extract(p, '{x.NAMED}', 1)"
+    after = "substr(p, strpos(p, ';') + 1)"
+    part = f"""lambda p: case
+      when regexp_matches(p, '{x.DECIMAL}') then chr(regexp_extract(p, '{x.DECIMAL}', 1)::int) || {after}
+      when regexp_matches(p, '{x.HEX}') then chr(('0x' || regexp_extract(p, '{x.HEX}', 1))::int) || {after}
+      when list_contains({names}, {name}) then {characters}[list_position({names}, {name})] || {after}
+      else '&' || p end"""
+    return f"list_aggregate(list_concat([string_split({text}, '&')[1]], list_transform(string_split({text}, '&')[2:], {part})), 'string_agg', '')"
 
 
 def mark_sql(column: str) -> str:
@@ -99,9 +104,48 @@ def f11(t):
     return documents.unionByName(turns).select("kind", "id", "turn", x.token_count("text").alias("n_tokens"))
 
 
+def described(t: Tables):
+    return t.documents.select(F.col("doc_id").alias("org_id"), F.col("text").alias("description"))
+
+
 def corpus(t: Tables):
-    described = t.documents.select(F.col("doc_id").alias("org_id"), F.col("text").alias("description"))
-    return cut(tokenized(described))
+    return cut(tokenized(described(t)))
+
+
+# Names from a gazetteer in sentences made of supplier, nation and region names.
+
+TRADERS = """traders as (
+  select s_suppkey as org_id, lower('Traders of ' || replace(n_name, '_', ' no ') || ' and ' || r_name || ' and of the middle ' || r_name || ' east') as description
+  from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+def traders(t: Tables):
+    nation = F.replace("n_name", F.lit("_"), F.lit(" no "))
+    text = F.concat(F.lit("Traders of "), nation, F.lit(" and "), "r_name", F.lit(" and of the middle "), "r_name", F.lit(" east"))
+    areas = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = t.supplier.join(areas, F.col("s_nationkey") == F.col("n_nationkey"))
+    return placed.select(F.col("s_suppkey").alias("org_id"), F.lower(text).alias("description"))
+
+
+def gazetteer(t: Tables):
+    return t.region.select(F.col("r_name").alias("name"), F.lit("LOC").alias("kind")).union(
+        t.nation.where("n_nationkey % 2 = 0").select(F.split_part("n_name", F.lit("_"), F.lit(1)), F.lit("GPE"))
+    )
+
+
+@query(
+    "f3_gazetteer",
+    f"""with {TRADERS}, words as (select org_id, {tokenize_sql('description')} as w from traders),
+    names as (
+      select array_to_string({tokenize_sql('name')}, ' ') as name, min(kind) as kind from (
+        select r_name as name, 'LOC' as kind from region
+        union all select split_part(n_name, '_', 1), 'GPE' from nation where n_nationkey % 2 = 0) group by 1),
+    ordered as (select list({{'n': ' ' || name || ' ', 'k': ' ' || kind || ' '}} order by length(name) desc, name) as all_names from names)
+    select org_id, trim(list_reduce(list_transform(all_names, lambda g: ' ' || array_to_string(w, ' ') || ' '), lambda a, b, i:
+      replace(a, all_names[i].n, all_names[i].k), ' ' || array_to_string(w, ' ') || ' ')) as tokens from words, ordered""",
+)
+def f3_gazetteer(t):
+    return joined(tokenized(traders(t), gazetteer=gazetteer(t)))
 
 
 CORPUS = f"""corpus as (select doc_id as org_id, {tokenize_sql(strip_html_sql('text'))} as tokens from documents)"""
@@ -217,8 +261,7 @@ FULL = f"""{CORPUS}, {filter_sql('corpus', 'c1', 10, 1.0)}, {phrase_sql('c1', 'c
 
 @query("t3_description_tokens", f"with {FULL} select org_id, array_to_string(tokens, ' ') as tokens from c4")
 def t3(t):
-    described = t.documents.select(F.col("doc_id").alias("org_id"), F.col("text").alias("description"))
-    return joined(description_tokens(described))
+    return joined(description_tokens(described(t)))
 
 
 @query("s14_description_tokens_of", f"with {FULL} select org_id, array_to_string(tokens, ' ') as tokens from c4")

@@ -90,23 +90,29 @@ def f10_product(t):
     return t.embeddings.select("vec_id", F.round(inner_product("embedding", F.reverse("embedding")), 9).alias("product"))
 
 
-SUM = "round(list_sum(v), 6) as total"
+CELLS = "unnest(range(1, len(v) + 1))::int as i, round(unnest(v), 6) as value"
 
 
-@query("j8_clustered_vectors", f"with {CLUSTERS} select param, org_id, {SUM} from labels join vec using (org_id)")
+def cells(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per component of each vector."""
+    placed = df.select(*columns, F.posexplode("embedding").alias("i", "v"))
+    return placed.select(*columns, (F.col("i") + 1).alias("i"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+@query("j8_clustered_vectors", f"with {CLUSTERS} select param, org_id, {CELLS} from labels join vec using (org_id)")
 def j8(t):
     found = kn.clustered_vectors(clusters(t).select("param", "org_id"), vectors(t))
-    return found.select("param", "org_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    return cells(found, "param", "org_id")
 
 
 @query(
     "j9_left_over_vectors",
-    f"""with {CLUSTERS} select param, org_id, {SUM} from (select distinct param from labels), vec
+    f"""with {CLUSTERS} select param, org_id, {CELLS} from (select distinct param from labels), vec
     anti join labels using (param, org_id)""".replace("select distinct param from labels), vec", "select param, org_id, v from (select distinct param from labels), vec)"),
 )
 def j9(t):
     found = kn.left_over_vectors(clusters(t).select("param", "org_id"), vectors(t))
-    return found.select("param", "org_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    return cells(found, "param", "org_id")
 
 
 NEIGHBOUR = "param, query_id, rank, neighbour_id, sim"
@@ -221,23 +227,32 @@ def t9(t):
 
 
 def shown_records(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {f.name: F.array_join(F.transform(f.name, lambda v: v.cast("string")), "|") for f in df.schema if f.dataType.typeName() == "array"}
-    )
+    """Arrays as strings, similarities in millionths."""
+
+    def shown(field):
+        fractions = field.dataType.elementType.typeName() in ("double", "float")
+        parts = F.transform(field.name, lambda v: (F.round(v * 1_000_000).cast("long") if fractions else v).cast("string"))
+        return F.array_join(parts, "|")
+
+    return df.withColumns({f.name: shown(f) for f in df.schema if f.dataType.typeName() == "array"})
 
 
-RECORDS = """select k.param, query_id as org_id, string_agg(neighbour_id::varchar, '|' order by rank) as knn_org_ids,
+MILLIONTHS = "round({} * 1000000)::bigint::varchar"
+
+
+RECORDS = f"""select k.param, query_id as org_id, string_agg(neighbour_id::varchar, '|' order by rank) as knn_org_ids,
     string_agg(a.label, '|' order by rank) as knn_original_text_sectors,
-    string_agg(b.label, '|' order by rank) as knn_assigned_text_sectors
-  from {knn} k join labels a on a.param = k.param and a.org_id = neighbour_id
-  join {after} b on b.param = k.param and b.org_id = neighbour_id group by all"""
+    string_agg(b.label, '|' order by rank) as knn_assigned_text_sectors,
+    string_agg({MILLIONTHS.format('sim')}, '|' order by rank) as knn_sims
+  from {{knn}} k join labels a on a.param = k.param and a.org_id = neighbour_id
+  join {{after}} b on b.param = k.param and b.org_id = neighbour_id group by all"""
 
 
 @query("r5_neighbour_records", f"with {NEAR}, {pass_sql('labels', 'one')} {RECORDS.format(knn='knn', after='one')}")
 def r5(t):
     found, original = neighbours(t), labels(t)
     records = r.neighbour_records(found, original, r.one_pass(found, original, MIN_SIM))
-    return shown_records(records.drop("knn_sims"))
+    return shown_records(records)
 
 
 @query("p12_int_ids", f"with {CLUSTERS} select param, sector_id, org_id from text_sectors")
@@ -259,14 +274,16 @@ ALL = f"""{THREE}, {REST.replace(NEAR + ', ', '')},
 rest_label as (select param, query_id as org_id, case when mean_sim >= {MIN_SIM} then label end as label from rest_best),
 in_records as ({RECORDS.format(knn='knn', after='three')}),
 out_records as ({RECORDS.format(knn='rest', after='three')}),
-in_means as (select param, query_id as org_id, string_agg(label, '|' order by label) as agg_sectors from three_m group by all),
-out_means as (select param, query_id as org_id, string_agg(label, '|' order by label) as agg_sectors from rest_m group by all),
+in_means as (select param, query_id as org_id, string_agg(label, '|' order by label) as agg_sectors,
+  string_agg({MILLIONTHS.format('mean_sim')}, '|' order by label) as agg_sims from three_m group by all),
+out_means as (select param, query_id as org_id, string_agg(label, '|' order by label) as agg_sectors,
+  string_agg({MILLIONTHS.format('mean_sim')}, '|' order by label) as agg_sims from rest_m group by all),
 result as (
   select param, true as clustered, org_id, a.label as original_text_sector, b.label as assigned_text_sector,
-    knn_org_ids, knn_original_text_sectors, knn_assigned_text_sectors, agg_sectors
+    knn_org_ids, knn_original_text_sectors, knn_assigned_text_sectors, knn_sims, agg_sectors, agg_sims
   from in_records join labels a using (param, org_id) join three b using (param, org_id) join in_means using (param, org_id)
   union all
-  select param, false, org_id, null, b.label, knn_org_ids, knn_original_text_sectors, knn_assigned_text_sectors, agg_sectors
+  select param, false, org_id, null, b.label, knn_org_ids, knn_original_text_sectors, knn_assigned_text_sectors, knn_sims, agg_sectors, agg_sims
   from out_records join rest_label b using (param, org_id) join out_means using (param, org_id))"""
 
 
@@ -276,7 +293,7 @@ def reassigned(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("t10_reassign_orgs", f"with {ALL} select * from result")
 def t10(t):
-    return shown_records(reassigned(t)[0].drop("knn_sims", "agg_sims"))
+    return shown_records(reassigned(t)[0])
 
 
 @query(
@@ -290,13 +307,14 @@ def t10_entropy(t):
 
 
 GETTERS = (
-    (store.org_ids, "org_ids", "", ""),
-    (store.original_text_sector, "original_text_sector", ", original_text_sector", ""),
-    (store.assigned_text_sector, "assigned_text_sector", ", assigned_text_sector", ""),
-    (store.knn_org_ids, "knn_org_ids", ", knn_org_ids", ""),
-    (store.knn_original_text_sectors, "knn_original_text_sectors", ", knn_original_text_sectors", ""),
-    (store.knn_assigned_text_sectors, "knn_assigned_text_sectors", ", knn_assigned_text_sectors", ""),
-    (store.knn_sector_means, "knn_sector_means", ", agg_sectors", "agg_sims"),
+    (store.org_ids, "org_ids", ""),
+    (store.original_text_sector, "original_text_sector", ", original_text_sector"),
+    (store.assigned_text_sector, "assigned_text_sector", ", assigned_text_sector"),
+    (store.knn_org_ids, "knn_org_ids", ", knn_org_ids"),
+    (store.knn_original_text_sectors, "knn_original_text_sectors", ", knn_original_text_sectors"),
+    (store.knn_assigned_text_sectors, "knn_assigned_text_sectors", ", knn_assigned_text_sectors"),
+    (store.knn_sims, "knn_sims", ", knn_sims"),
+    (store.knn_sector_means, "knn_sector_means", ", agg_sectors, agg_sims"),
 )
 
 
@@ -306,27 +324,20 @@ def stored_table(t: Tables) -> DataFrame:
     return store.load_table(t.spark, path)
 
 
-def _getter(getter, name, columns, dropped):
+def _getter(getter, name, columns):
     sql = " union all ".join(f"select param, org_id, {flag} as clustered{columns} from result where clustered = {flag}" for flag in ("true", "false"))
 
     @query(f"s13_{name}", f"with {ALL} {sql}")
     def read(t):
         table = stored_table(t)
         parts = [getter(table, flag).withColumn("clustered", F.lit(flag)) for flag in (True, False)]
-        return shown_records(parts[0].unionByName(parts[1]).drop(dropped))
+        return shown_records(parts[0].unionByName(parts[1]))
 
 
 for _entry in GETTERS:
     _getter(*_entry)
 
 
-@query("s13_knn_sims", f"with {NEAR} select param, query_id as org_id, round(sum(sim), 6) as sim_sum from near group by all")
-def s13_sims(t):
-    table = stored_table(t)
-    both = store.knn_sims(table, True).unionByName(store.knn_sims(table, False))
-    return both.select("param", "org_id", F.round(F.aggregate("knn_sims", F.lit(0.0), lambda a, v: a + v), 6).alias("sim_sum"))
-
-
 # Embedding of documents and its checks.
 
 DIM, HASHES, SEED = 64, 4, 100
@@ -344,12 +355,13 @@ embedded as (select org_id, place, v / sqrt(sum(v * v) over (partition by org_id
 
 @query(
     "t5_embed_tokens",
-    f"with {EMBEDDED} select org_id, place::int as place, round(v::float::double, 4) as value from embedded where abs(v::float) > 0.0001::float",
+    f"""with {EMBEDDED} select c.org_id, p::int as place, round(coalesce(v, 0)::float::double, 4) + 0 as value
+    from corpus c cross join range({DIM}) r(p) left join embedded e on e.org_id = c.org_id and place = p""",
 )
 def t5(t):
     embedded = em.embed_tokens(corpus(t), DIM, HASHES, SEED)
-    cells = embedded.select("org_id", F.posexplode("embedding").alias("place", "v"))
-    return cells.where(F.abs("v") > F.lit(0.0001).cast("float")).select("org_id", "place", F.round(F.col("v").cast("double"), 4).alias("value"))
+    placed = embedded.select("org_id", F.posexplode("embedding").alias("place", "v"))
+    return placed.select("org_id", "place", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
 
 
 LENGTHS = f"lengths as (select len(regexp_extract_all(text, '{x.LENGTH_PATTERN}'))::int as length from documents)"
@@ -426,13 +438,13 @@ def j15(t):
 
 @query(
     "s14_embeddings_of",
-    "select vec_id as org_id, 'label ' || label as description, round(list_sum(embedding::double[]), 6) as total from embeddings",
+    f"select vec_id as org_id, 'label ' || label as description, {CELLS} from (select *, embedding::double[] as v from embeddings)",
 )
 def s14_embeddings(t):
     path = scratch_path(t.spark, "embedded")
     store.save_table(two_models(t), path, ["model_name"])
     found = store.embeddings_of(store.load_table(t.spark, path), "plain")
-    return found.select("org_id", "description", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    return cells(found, "org_id", "description")
 
 
 @query("s14_encoder_names", f"with {MODELS} select distinct model_name from models")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Legal forms dropped from company names.
+# Legal forms dropped from company names.
 LEGAL_FORMS = (
     "limited", "ltd", "plc", "llp", "llc", "lp", "inc", "incorporated", "corp", "corporation",
     "company", "co", "cic", "gmbh", "ag", "sa", "bv", "nv", "holdings", "group",
 )
 
-# Modulus of the min-hash permutations, and the bases of their coefficients.
+# Modulus of the min-hash permutations, and the bases of their coefficients.
 PRIME = 2**31 - 1
 MULTIPLIER_BASE = 48271
 OFFSET_BASE = 16807

@@ -4,22 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import name2codepoint
 from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named character references that are decoded; `&amp;` comes last.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&pound;", "£"), ("&euro;", "€"), ("&eacute;", "é"),
-    ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&ouml;", "ö"), ("&uuml;", "ü"),
-    ("&auml;", "ä"), ("&szlig;", "ß"), ("&ntilde;", "ñ"), ("&amp;", "&"),
-)
+# Named character references: the standard's names, and a plain blank for the fixed one.
+REFERENCES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 
-# What is cut from HTML, in this order. Only whole tags match.
+# What is cut from HTML, in this order. Only whole tags match.
 HTML_PATTERNS = (
     r"(?s)<!--.*?-->",
     r"(?is)<script\b[^>]*>.*?</script\s*>",
@@ -33,11 +27,11 @@ ENTITY_TYPES = (
     "ORDINAL", "ORG", "PERCENT", "PERSON", "QUANTITY", "TIME",
 )
 
-# Months and units in the patterns below.
+# Months and units in the patterns below.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 UNITS = "kg|km|cm|mm|tonnes|tons|miles|metres|litres|acres|hectares|mw|kw|gb|tb"
 
-# Patterns of entity types on lower-case text, tried in this order.
+# Patterns of entity types on lower-case text, tried in this order.
 ENTITY_PATTERNS = (
     ("MONEY", r"[$£€]\s?[0-9][0-9.,]*(?:\s?(?:million|billion|thousand|m|bn|k)\b)?"),
     ("PERCENT", r"[0-9][0-9.,]*\s?(?:%|percent\b|per cent\b)"),
@@ -48,7 +42,7 @@ ENTITY_PATTERNS = (
     ("CARDINAL", r"\b[0-9][0-9.,]*\b"),
 )
 
-# Number words, replaced token by token.
+# Number words, replaced token by token.
 NUMBER_WORDS = {
     "CARDINAL": ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"),
     "ORDINAL": ("first", "second", "third"),
@@ -59,7 +53,7 @@ STRIPPED_CODES = (
     "CARDINAL", "DATE", "GPE", "LOC", "MONEY", "NORP", "ORDINAL", "ORG", "PERSON", "QUANTITY", "TIME",
 )
 
-# English function words.
+# English function words.
 STOP_WORDS = (
     "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before",
     "being", "between", "both", "but", "by", "can", "could", "did", "do", "does", "each", "every", "for",
@@ -71,7 +65,7 @@ STOP_WORDS = (
     "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
 )
 
-# Plural endings that lose "es", and endings whose "s" stays.
+# Plural endings that lose "es", and endings whose "s" stays.
 ES_ENDINGS = ("sses", "shes", "ches", "xes", "zes")
 KEPT_ENDINGS = ("ss", "us", "is")
 
@@ -83,27 +77,26 @@ def _column(column: str | Column) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+DECIMAL, HEX, NAMED = r"^#([0-9]{1,7});", r"^#[xX]([0-9A-Fa-f]{1,6});", r"^([A-Za-z][A-Za-z0-9]{1,9});"
+
+
 def decode_references(column: str | Column) -> Column:
-    """Replace numeric and named character references by their characters."""
-    # The text is cut before each `&#`; a part that starts with digits and `;` has its code replaced.
-    parts = F.split(_column(column), "&#")
-    number = r"^([0-9]{1,7});"
+    """Replace decimal, hexadecimal and named character references by their characters, once each."""
+    # The text is cut before each `&`; a part that starts with a reference has it replaced.
+    parts = F.split(_column(column), "&")
+    names = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
 
     def decoded(part: Column) -> Column:
-        code = F.regexp_extract(part, number, 1)
-        value = code.try_cast("int")
-        character = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
-        valid = (code != "") & value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-        return F.when(valid, F.concat(character, F.regexp_replace(part, number, ""))).otherwise(
-            F.concat(F.lit("&#"), part)
-        )
-
-    text = F.concat(
-        F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded), "")
-    )
-    for reference, character in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+        decimal, hexadecimal = F.regexp_extract(part, DECIMAL, 1), F.regexp_extract(part, HEX, 1)
+        value = F.when(decimal != "", decimal.try_cast("int")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int"))
+        valid = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32"))
+        character = F.coalesce(numbered, F.try_element_at(names, F.regexp_extract(part, NAMED, 1)))
+        rest = F.substring(part, F.instr(part, ";") + 1, F.length(part))
+        return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), part))
+
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded)
+    return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
 
 def strip_html(column: str | Column) -> Column:

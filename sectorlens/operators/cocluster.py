@@ -2,60 +2,58 @@
 
 A degree-corrected bipartite block model (Karrer and Newman 2011) is fitted by alternating
 label updates (Dhillon, Mallela and Modha 2003). All sectors, starts and group numbers run
-in the same jobs, told apart by the columns ``sector`` and ``run``.
+in the same jobs, told apart by the columns ``sector`` and ``run``. The number of groups is
+chosen by the description length (Peixoto 2014): group numbers double for the sectors whose
+description still gets shorter, so it has no fixed end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sectorlens.session import cut
 
-GROUP_NUMBERS = ((2, 2), (3, 3), (5, 5), (8, 8))
+FIRST_NUMBERS = ((2, 2), (4, 4))
 
 
-def _start(nodes: DataFrame, node: str, sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
-    """(sector, node, labels): a seeded random label per run."""
-    labels = [F.pmod(F.xxhash64(node, F.lit(seed)), F.lit(b)).cast("int") for seed, b in zip(seeds, sizes)]
-    return nodes.select("sector", node, F.array(*labels).alias("labels"))
+def start_labels(nodes: DataFrame, name: str, sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
+    """The nodes with ``labels``: a label per run, drawn by the hash of seed and name."""
 
+    def drawn(seed: int, size: int) -> Column:
+        digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(name).cast("string")))
+        return (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % size).cast("int")
 
-def _tally(edges: DataFrame, labels: DataFrame, across: str, node: str, sizes: Sequence[int]) -> DataFrame:
-    """(sector, node, c0_0, c0_1, ...): a node's edges by run and label at their other end.
+    return nodes.withColumn("labels", F.array(*[drawn(seed, size) for seed, size in zip(seeds, sizes)]))
 
-    One row per node for all runs. Labels are unique per node, so their hash tables stay even
-    when a node has very many edges; the sums are combined before the shuffle.
+
+def _tally(edges: DataFrame, labels: DataFrame, across: str, node: str) -> DataFrame:
+    """(sector, node, ends): a node's edges by the labels at their other end, summed.
+
+    The list has at most as many entries as label combinations, whatever the node's degree.
+    Labels are unique per node, so their hash tables stay small even when a node has very many
+    edges; the sums are combined before the shuffle.
     """
     joined = edges.join(labels.select("sector", across, "labels").hint("shuffle_hash"), ["sector", across])
-    sums = [
-        F.sum(F.when(F.col("labels")[r] == b, F.col("cnt")).otherwise(0)).alias(f"c{r}_{b}")
-        for r, size in enumerate(sizes)
-        for b in range(size)
-    ]
-    return joined.groupBy("sector", node).agg(*sums)
-
-
-def _blocks(state: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """(sector, run, label, edges): edges of each own label by the label at the other end."""
-    width = max(sizes)
-    per_run = F.array(
-        *[
-            F.struct(
-                F.lit(r).alias("run"),
-                F.col("labels")[r].alias("label"),
-                F.array(*[F.col(f"c{r}_{b}") if b < size else F.lit(0).cast("long") for b in range(width)]).alias("c"),
-            )
-            for r, size in enumerate(sizes)
-        ]
+    sums = joined.groupBy("sector", node, "labels").agg(F.sum("cnt").alias("e"))
+    return sums.groupBy("sector", node).agg(F.collect_list(F.struct("labels", "e")).alias("ends"))
+
+
+def _blocks(state: DataFrame, runs: int) -> DataFrame:
+    """(sector, run, label, other, e): edges of each own label by the label at the other end."""
+    per_run = F.transform(
+        F.sequence(F.lit(0), F.lit(runs - 1)),
+        lambda r: F.struct(
+            r.alias("run"), F.get("labels", r).alias("label"), F.get("end.labels", r).alias("other"), F.col("end.e").alias("e")
+        ),
     )
-    sums = [F.sum(F.col("b.c")[i]).alias(f"e{i}") for i in range(width)]
-    grouped = state.select("sector", F.explode(per_run).alias("b")).groupBy("sector", "b.run", "b.label").agg(*sums)
-    return grouped.select("sector", "run", "label", F.array(*[f"e{i}" for i in range(width)]).alias("edges"))
+    each = state.select("sector", "labels", F.explode("ends").alias("end")).select("sector", F.inline(per_run))
+    return each.groupBy("sector", "run", "label", "other").agg(F.sum("e").alias("e"))
 
 
 def _log_rates(blocks: DataFrame, own_sizes: Sequence[int], other_sizes: Sequence[int], alpha: float) -> DataFrame:
@@ -64,116 +62,145 @@ def _log_rates(blocks: DataFrame, own_sizes: Sequence[int], other_sizes: Sequenc
     A row per sector, of as many numbers as there are blocks. Labels without edges have no rates.
     """
     starts = [sum(own_sizes[:r]) for r in range(len(own_sizes))]
-    place = F.array(*map(F.lit, starts))[F.col("run")] + F.col("label")
-    smooth = F.lit(alpha) * F.array(*map(F.lit, other_sizes))[F.col("run")]
-    total = F.aggregate("edges", F.lit(0).cast("long"), lambda t, e: t + e)
-    rates = F.transform("edges", lambda e: F.log((e + F.lit(alpha)) / (total + smooth)))
-    entries = blocks.where(total > 0).groupBy("sector").agg(
-        F.map_from_entries(F.collect_list(F.struct(place.alias("place"), rates.alias("rates")))).alias("m")
+    place = F.get(F.array(*map(F.lit, starts)), F.col("run")) + F.col("label")
+    other_size = F.get(F.array(*map(F.lit, other_sizes)), F.col("run"))
+    labels = blocks.groupBy("sector", "run", "label").agg(
+        F.sum("e").alias("total"), F.map_from_entries(F.collect_list(F.struct("other", "e"))).alias("m")
     )
-    return entries.select(
-        "sector", F.array(*[F.try_element_at("m", F.lit(i)) for i in range(sum(own_sizes))]).alias("rates")
+    rates = F.transform(
+        F.sequence(F.lit(0), other_size - 1),
+        lambda b: F.log((F.coalesce(F.try_element_at("m", b), F.lit(0)) + F.lit(alpha)) / (F.col("total") + F.lit(alpha) * other_size)),
     )
+    entries = labels.groupBy("sector").agg(
+        F.map_from_entries(F.collect_list(F.struct(place.alias("place"), rates.alias("rates")))).alias("by_place")
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.lit(sum(own_sizes) - 1)), lambda i: F.try_element_at("by_place", i))
+    return entries.select("sector", dense.alias("rates"))
 
 
-def _relabel(
-    state: DataFrame, node: str, own_sizes: Sequence[int], other_sizes: Sequence[int], alpha: float
-) -> DataFrame:
+def _relabel(state: DataFrame, node: str, own_sizes: Sequence[int], other_sizes: Sequence[int], alpha: float) -> DataFrame:
     """The state with new labels: in every run the one under which the node's edges are most likely.
 
     Ties go to the lowest label. ``moved`` tells per run whether the label changed.
     """
-    rates = _log_rates(_blocks(state, other_sizes), own_sizes, other_sizes, alpha)
-    chosen, start = [], 0
-    for r, (own, other) in enumerate(zip(own_sizes, other_sizes)):
-        options = []
-        for a in range(own):
-            row = F.col("rates")[start + a]
-            fit = sum((F.col(f"c{r}_{b}") * row[b] for b in range(other)), F.lit(0.0))
-            options.append(F.struct(F.round(fit, 6).alias("fit"), F.lit(-a).alias("lower")))
-        chosen.append((-F.array_max(F.array(*options)).lower).cast("int"))
-        start += own
-    tallies = [c for c in state.columns if c.startswith("c")]
+    rates = _log_rates(_blocks(state, len(own_sizes)), own_sizes, other_sizes, alpha)
+
+    def fit(row: Column, run: int) -> Column:
+        return F.aggregate("ends", F.lit(0.0), lambda total, end: total + end["e"] * F.get(row, F.get(end["labels"], F.lit(run))))
+
+    def best(run: int, start: int, size: int) -> Column:
+        options = F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)),
+            lambda a: F.struct(F.round(fit(F.get("rates", a + start), run), 6).alias("fit"), (-a).alias("lower")),
+        )
+        return (-F.array_max(F.filter(options, lambda o: o["fit"].isNotNull()))["lower"]).cast("int")
+
+    starts = [sum(own_sizes[:r]) for r in range(len(own_sizes))]
+    chosen = F.array(*[best(r, start, size) for r, (start, size) in enumerate(zip(starts, own_sizes))])
     return (
         state.join(rates, "sector")
-        .withColumn("new", F.array(*chosen))
+        .withColumn("new", chosen)
         .select(
-            "sector", node, *tallies, F.col("new").alias("labels"),
+            "sector", node, "ends", F.col("new").alias("labels"),
             F.zip_with("labels", "new", lambda a, b: (a != b).cast("double")).alias("moved"),
         )
     )
 
 
-def _half_pass(edges, other, own, across, node, own_sizes, other_sizes, alpha) -> DataFrame:
+def half_pass(edges, other, own, across, node, own_sizes, other_sizes, alpha=1e-9) -> DataFrame:
     """New labels of one side from the labels of the other."""
-    tally = _tally(edges, other, across, node, other_sizes)
-    state = cut(tally.join(own.select("sector", node, "labels").hint("shuffle_hash"), ["sector", node]))
-    return cut(_relabel(state, node, own_sizes, other_sizes, alpha))
+    tally = _tally(edges, other, across, node)
+    state = tally.join(own.select("sector", node, "labels").hint("shuffle_hash"), ["sector", node])
+    return cut(_relabel(cut(state), node, own_sizes, other_sizes, alpha))
+
+
+def log_factorial(n: Column) -> Column:
+    """Stirling's approximation of ln n!, 0 for n = 0."""
+    return F.when(n > 0, n * F.log(n) - n + F.log(n * (2 * math.pi)) / 2).otherwise(0.0)
 
 
-def _objective(blocks: DataFrame) -> DataFrame:
-    """Sum of e_rs ln(e_rs / (e_r e_s)) and the number of used groups, per sector and run.
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def _side_cost(labels: DataFrame) -> DataFrame:
+    """(sector, run, used, cost): the description length of one side's partition."""
+    sizes = labels.select("sector", F.posexplode("labels").alias("run", "label")).groupBy("sector", "run", "label").agg(
+        F.count("*").cast("double").alias("n")
+    )
+    nodes, used = F.sum("n"), F.count("*").cast("double")
+    cost = log_factorial(nodes) - F.sum(log_factorial(F.col("n"))) + log_choose(nodes - 1, used - 1)
+    return sizes.groupBy("sector", "run").agg(F.count("*").alias("used"), cost.alias("cost"))
+
 
-    ``blocks`` are those of the word side: a row per word group, edges by document group.
+def description_lengths(blocks: DataFrame, docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Per sector and run: fit, used groups and the length of the whole description.
+
+    ``fit`` is the sum of e_rs ln(e_rs / (e_r e_s)). The description also tells both partitions
+    and the counts between groups: a choice of the used blocks for the edges, with repetition.
     """
     keys = ["sector", "run"]
-    cells = blocks.select(*keys, F.col("label").alias("s"), F.posexplode("edges").alias("r", "e")).where("e > 0")
-    words = cells.groupBy(*keys, "s").agg(F.sum("e").alias("e_s"))
-    docs = cells.groupBy(*keys, "r").agg(F.sum("e").alias("e_r"))
-    joined = cells.join(docs, [*keys, "r"]).join(words, [*keys, "s"])
-    fit = F.sum(F.col("e") * F.log(F.col("e") / (F.col("e_r").cast("double") * F.col("e_s"))))
-    return joined.groupBy(*keys).agg(
-        fit.alias("fit"), F.countDistinct("r").alias("used_docs"), F.countDistinct("s").alias("used_words")
+    ends = blocks.groupBy(*keys, "label").agg(F.sum("e").alias("e_label"))
+    others = blocks.groupBy(*keys, "other").agg(F.sum("e").alias("e_other"))
+    joined = blocks.join(ends, [*keys, "label"]).join(others, [*keys, "other"])
+    e = F.col("e").cast("double")
+    fits = joined.groupBy(*keys).agg(
+        F.sum(e * F.log(e / (F.col("e_label").cast("double") * F.col("e_other")))).alias("fit"), F.sum("e").cast("double").alias("edges")
     )
+    sides = [
+        _side_cost(side).withColumnsRenamed({"used": f"used_{name}", "cost": f"cost_{name}"})
+        for name, side in (("docs", docs), ("words", words))
+    ]
+    found = fits.join(sides[0], keys).join(sides[1], keys)
+    cells = (F.col("used_docs") * F.col("used_words")).cast("double")
+    counts = log_choose(cells + F.col("edges") - 1, F.col("edges"))
+    length = F.col("cost_docs") + F.col("cost_words") + counts - F.col("fit")
+    return found.select(*keys, "fit", "used_docs", "used_words", F.round(length, 6).alias("description_length"))
 
 
 def fit_runs(
     edges: DataFrame,
-    group_numbers: Sequence[tuple[int, int]] = GROUP_NUMBERS,
+    group_numbers: Sequence[tuple[int, int]] = FIRST_NUMBERS,
     n_init: int = 1,
     max_iter: int = 20,
     epsilon: float = 0.01,
     alpha: float = 1e-9,
+    names: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All runs: (history of objectives, document labels, word labels), each with run and pass.
+    """All runs: (history of description lengths, document labels, word labels), each with run and pass.
 
     Every start and pair of group numbers is a run; labels travel as one array per node, a
-    label per run, so the edges are joined once for all runs.
+    label per run, so the edges are joined once for all runs. ``names`` gives the (sector, word,
+    name) of words that the edges number.
     """
     seeds = [seed for seed in range(n_init) for _ in group_numbers]
     doc_sizes, word_sizes = (list(sizes) * n_init for sizes in zip(*group_numbers))
-    docs = cut(_start(edges.select("sector", "doc_id").distinct(), "doc_id", doc_sizes, seeds))
-    words = cut(_start(edges.select("sector", "word").distinct(), "word", word_sizes, seeds))
+    if names is None:
+        names = edges.select("sector", "word").distinct().withColumn("name", F.col("word").cast("string"))
+    docs = cut(start_labels(edges.select("sector", "doc_id").distinct(), "doc_id", doc_sizes, seeds))
+    words = cut(start_labels(names, "name", word_sizes, seeds).select("sector", "word", "labels"))
     history, doc_states, word_states = [], [], []
     for step in range(max_iter):
-        docs = _half_pass(edges, words, docs, "word", "doc_id", doc_sizes, word_sizes, alpha)
-        words = _half_pass(edges, docs, words, "doc_id", "word", word_sizes, doc_sizes, alpha)
+        docs = half_pass(edges, words, docs, "word", "doc_id", doc_sizes, word_sizes, alpha)
+        words = half_pass(edges, docs, words, "doc_id", "word", word_sizes, doc_sizes, alpha)
+        moved = cut(
+            docs.select("sector", F.posexplode("moved").alias("run", "moved")).groupBy("sector", "run").agg(F.avg("moved").alias("moved"))
+        )
         numbered = F.lit(step).alias("pass")
-        history.append(_objective(_blocks(words, doc_sizes)).select("*", numbered))
+        lengths = description_lengths(_blocks(words, len(seeds)), docs, words).join(moved, ["sector", "run"])
+        history.append(lengths.select("*", (F.col("moved") < epsilon).alias("converged"), numbered))
         doc_states.append(docs.select("sector", "doc_id", F.posexplode("labels").alias("run", "doc_group"), numbered))
         word_states.append(words.select("sector", "word", F.posexplode("labels").alias("run", "word_group"), numbered))
-        moved = (
-            docs.select("sector", F.posexplode("moved").alias("run", "moved"))
-            .groupBy("sector", "run").agg(F.avg("moved").alias("moved"))
-            .agg(F.max("moved")).first()[0]
-        )
-        if moved is None or moved < epsilon:
+        most = moved.agg(F.max("moved")).first()[0]
+        if most is None or most < epsilon:
             break
     return tuple(reduce(DataFrame.unionByName, frames) for frames in (history, doc_states, word_states))
 
 
-def choose_runs(edges: DataFrame, history: DataFrame) -> DataFrame:
-    """(sector, run, pass, description_length): the shortest description of each sector."""
-    sizes = edges.groupBy("sector").agg(
-        F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("word").alias("n_words")
-    )
-    labels = F.col("n_docs") * F.log(F.col("used_docs").cast("double")) + F.col("n_words") * F.log(
-        F.col("used_words").cast("double")
-    )
-    lengths = history.join(sizes, "sector").withColumn("description_length", labels - F.col("fit"))
-    return lengths.groupBy("sector").agg(
-        F.min_by(F.struct("run", "pass", "description_length"), F.struct("description_length", "run", "pass")).alias("c")
-    ).select("sector", "c.*")
+def choose_runs(history: DataFrame) -> DataFrame:
+    """The run and pass with the shortest description of each sector, of equal passes the last."""
+    best = F.min_by(F.struct(*history.columns[1:]), F.struct("description_length", "run", -F.col("pass")))
+    return history.groupBy("sector").agg(best.alias("c")).select("sector", "c.*")
 
 
 def _numbered(labels: DataFrame, label: str) -> DataFrame:
@@ -185,26 +212,60 @@ def _numbered(labels: DataFrame, label: str) -> DataFrame:
 
 def cocluster(
     edges: DataFrame,
-    group_numbers: Sequence[tuple[int, int]] = GROUP_NUMBERS,
+    group_numbers: Sequence[tuple[int, int]] | None = None,
     n_init: int = 1,
     max_iter: int = 20,
     epsilon: float = 0.01,
     alpha: float = 1e-9,
-) -> tuple[DataFrame, DataFrame]:
-    """(sector, doc_id, doc_group) and (sector, word, word_group) of the best run of each sector."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sector, doc_id, doc_group), (sector, word, word_group) and a report with a row per sector.
+
+    With ``group_numbers`` the best of these is taken. Without, the numbers start small and double
+    for the sectors that were best described by the largest tried. The report has the used groups,
+    the description length and whether the labels had settled (``converged``).
+    """
     # The passes shuffle the edges again and again, so they run on numbers instead of words.
     numbered = cut(edges.select("sector", "word").distinct().withColumn("number", F.monotonically_increasing_id()))
-    light = cut(
+    rest = cut(
         edges.join(numbered, ["sector", "word"]).select("sector", "doc_id", F.col("number").alias("word"), "cnt")
     )
-    history, docs, words = fit_runs(light, group_numbers, n_init, max_iter, epsilon, alpha)
-    chosen = cut(choose_runs(light, history)).select("sector", "run", "pass")
-    doc_groups = docs.join(chosen, ["sector", "run", "pass"], "left_semi").select("sector", "doc_id", "doc_group")
-    word_groups = words.join(chosen, ["sector", "run", "pass"], "left_semi").select(
-        "sector", F.col("word").alias("number"), "word_group"
+    names = numbered.select("sector", F.col("number").alias("word"), F.col("word").alias("name"))
+    numbers, growing = list(group_numbers or FIRST_NUMBERS), group_numbers is None
+    found: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    while True:
+        history, docs, words = fit_runs(rest, numbers, n_init, max_iter, epsilon, alpha, names)
+        chosen = cut(choose_runs(history))
+        keys = chosen.select("sector", "run", "pass")
+        found.append(
+            (chosen.withColumn("round", F.lit(len(found))), *(x.join(keys, ["sector", "run", "pass"], "left_semi") for x in (docs, words)))
+        )
+        if not growing:
+            break
+        best = cut(_best_round([c for c, _, _ in found]))
+        # The last of the tried numbers won: try twice as many for these sectors.
+        won = best.where((F.col("round") == len(found) - 1) & ((F.col("run") + 1) % len(numbers) == 0)).select("sector")
+        won = cut(won)
+        if won.isEmpty():
+            break
+        rest = rest.join(won, "sector", "left_semi")
+        names = names.join(won, "sector", "left_semi")
+        numbers = [tuple(2 * n for n in numbers[-1])]
+    best = cut(_best_round([c for c, _, _ in found]))
+    doc_groups, word_groups = (
+        reduce(DataFrame.unionByName, [each[i].withColumn("round", F.lit(r)) for r, each in enumerate(found)])
+        .join(best.select("sector", "round"), ["sector", "round"], "left_semi")
+        for i in (1, 2)
     )
-    named = numbered.join(word_groups, ["sector", "number"]).select("sector", "word", "word_group")
-    return _numbered(doc_groups, "doc_group"), _numbered(named, "word_group")
+    named = numbered.join(word_groups.withColumnRenamed("word", "number"), ["sector", "number"]).select("sector", "word", "word_group")
+    report = best.select("sector", "used_docs", "used_words", "description_length", "converged")
+    return _numbered(doc_groups.select("sector", "doc_id", "doc_group"), "doc_group"), _numbered(named, "word_group"), report
+
+
+def _best_round(rounds: list[DataFrame]) -> DataFrame:
+    everything = reduce(DataFrame.unionByName, rounds)
+    return everything.groupBy("sector").agg(
+        F.min_by(F.struct(*[c for c in everything.columns if c != "sector"]), F.struct("description_length", "round")).alias("c")
+    ).select("sector", "c.*")
 
 
 def condense(edges: DataFrame, doc_groups: DataFrame, word_groups: DataFrame) -> DataFrame:

@@ -170,14 +170,18 @@ def cluster_peers(doc_groups: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def docs_to_assign(share: int | float | str, corpus_size: Column) -> Column:
-    """How many documents of a group are kept: a number, a share of the sector, or all."""
-    if type(share) is int:
-        return F.lit(share).cast("long")
-    if type(share) is float:
-        return F.floor(corpus_size * F.lit(share)).cast("long")
-    if type(share) is str:
-        return corpus_size.cast("long")
-    raise ValueError(f"share must be int, float or str, not {type(share).__name__}")
+    """Documents kept per group: a count as it is, a fraction of the sector, a word for all of it."""
+    limit = LIMIT_OF.get(type(share))
+    if limit is None:
+        raise ValueError(f"{share!r} says no number of documents")
+    return limit(share, corpus_size).cast("long")
+
+
+LIMIT_OF = {
+    int: lambda count, size: F.lit(count),
+    float: lambda fraction, size: F.floor(size * F.lit(fraction)),
+    str: lambda word, size: size,
+}
 
 
 DEFAULT_SHARES = (10, 100, 500, 0.5, "all")

@@ -171,6 +171,7 @@ def knn_join(
             visits.join(plan, [*by, "cell"])
             .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n_chunk")))
             .withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_sub") - 1)))
+            .join(queries, [*by, "id"])
             .select(*keys, "id", "vector")
         )
         held = (
@@ -186,15 +187,16 @@ def knn_join(
 
     order = [F.desc("sim"), F.col("neighbour_id")]
     if n_cells == 1:
-        found = meet(queries.withColumn("cell", F.lit(0)))
+        found = meet(queries.select(*by, "id", F.lit(0).alias("cell")))
         return top_per_key(found, [*by, "query_id"], order, k)
 
-    exploded = [*by, "id", "vector", F.explode("cells").alias("cell")]
-    homes = queries.mapInPandas(visiting(False), f"{vector_schema}, cells array<int>").select(*exploded)
+    # Visits are written without vectors: they are counted per cell and then dealt into blocks.
+    exploded = [*by, "id", F.explode("cells").alias("cell")]
+    homes = cut(queries.mapInPandas(visiting(False), f"{vector_schema}, cells array<int>").select(*exploded))
     near = cut(top_per_key(meet(homes), [*by, "query_id"], order, k))
     bars = near.where(F.col("rank") == k).select(*by, F.col("query_id").alias("id"), F.col("sim").alias("bar"))
     barred = queries.join(bars, [*by, "id"], "left").select(*queries.columns, "bar")
-    others = barred.mapInPandas(visiting(True), f"{vector_schema}, cells array<int>").select(*exploded)
+    others = cut(barred.mapInPandas(visiting(True), f"{vector_schema}, cells array<int>").select(*exploded))
     found = near.drop("rank").unionByName(meet(others))
     return top_per_key(found, [*by, "query_id"], order, k)
 
@@ -207,6 +209,7 @@ def drop_surplus(hits: DataFrame, k: int, by: Sequence[str] = (), in_index: bool
 
 def clustered_vectors(clusters: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Vectors of the clustered organisations; error when one has no vector."""
+    clusters = cut(clusters)  # read by the check and by the join
     missing = clusters.join(embeddings.select("org_id"), "org_id", "left_anti").limit(1).collect()
     if missing:
         raise ValueError(f"organisation {missing[0]['org_id']} has no vector")
@@ -215,8 +218,7 @@ def clustered_vectors(clusters: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def left_over_vectors(clusters: DataFrame, embeddings: DataFrame) -> DataFrame:
     """(param, org_id, embedding) of the organisations in no cluster of the parameter."""
-    params = clusters.select("param").distinct()  # one row per assignment parameter
-    everyone = embeddings.select("org_id", "embedding").join(F.broadcast(params))
-    return everyone.join(clusters.select("param", "org_id"), ["param", "org_id"], "left_anti").select(
-        "param", "org_id", "embedding"
-    )
+    params = clusters.select("param").distinct()  # a few rows, one per assignment parameter
+    everyone = embeddings.select("org_id").crossJoin(params)
+    rest = everyone.join(clusters.select("param", "org_id"), ["param", "org_id"], "left_anti")
+    return rest.join(embeddings.select("org_id", "embedding"), "org_id").select("param", "org_id", "embedding")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.functions.names import clean_name, jaccard_score, levenshtein_score, minhashes, shingles
+from sectorlens.operators.joins import spread_join
 from sectorlens.operators.ranking import top_per_key
 from sectorlens.operators.records import validate_keys
 from sectorlens.session import cut
@@ -31,15 +32,27 @@ def distinct_names(names: DataFrame) -> DataFrame:
 # Candidates by MinHash and locality-sensitive hashing.
 
 
-def band_keys(names: DataFrame, bands: int, rows: int, levels: tuple[int, ...], k: int) -> DataFrame:
-    """One row per name and band; ``k0, k1, ...`` hash the rows of 1, 4, ... following bands."""
-    signed = names.select("id", minhashes(shingles("name", k), bands * rows).alias("sig"))
-    ring = signed.select("id", F.concat("sig", "sig").alias("ring"))
-    banded = ring.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    start = F.col("band") * rows + 1
-    return banded.select(
-        "id", "band", *[F.xxhash64(F.slice("ring", start, width * rows)).alias(f"k{i}") for i, width in enumerate(levels)]
+def band_keys(names: DataFrame, id_col: str, bands: int, rows: int, k: int) -> DataFrame:
+    """One row per name and band with the hash of the band's minhashes, and the name's sizes."""
+    signed = names.select(
+        F.col("id").alias(id_col),
+        F.length("name").alias(f"length_{id_col}"),
+        F.size(shingles("name", k)).alias(f"size_{id_col}"),
+        minhashes(shingles("name", k), bands * rows).alias("sig"),
     )
+    banded = signed.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    key = F.xxhash64(F.slice("sig", F.col("band") * rows + 1, F.lit(rows)))
+    return banded.select(id_col, f"length_{id_col}", f"size_{id_col}", "band", key.alias("key"))
+
+
+def score_bound() -> Column:
+    """No mean score of two names is higher: sizes bound two of the scores, the third is 100 at most."""
+
+    def ratio(what: str) -> Column:
+        low, high = F.least(f"{what}_x", f"{what}_y"), F.greatest(f"{what}_x", f"{what}_y")
+        return F.coalesce(F.try_divide(low, high), F.lit(1.0))
+
+    return (ratio("size") + ratio("length") + 1) * 100 / 3
 
 
 def lsh_candidates(
@@ -48,37 +61,19 @@ def lsh_candidates(
     k: int = 3,
     bands: int = 16,
     rows: int = 4,
-    levels: tuple[int, ...] = (1, 4, 16),
-    bucket_pairs: int = 10_000,
+    min_score: float = 0,
+    block: int = 1_000,
 ) -> DataFrame:
-    """Pairs (x, y) of names that agree on all minhashes of a band.
+    """All pairs (x, y) of names that agree on all minhashes of a band.
 
-    A bucket that would give more than ``bucket_pairs`` pairs is split by the minhashes of
-    further bands, as in LSH forests, so a form shared by many names doesn't pair them all.
-    Pairs that only such a bucket would have given are left to :func:`cosine_candidates`.
+    The x of a bucket are dealt by hash into blocks of about ``block``, and its y visit every
+    block, so a form shared by many names is spread over tasks. With ``min_score``, pairs whose
+    sizes alone rule that mean score out are left away inside the block; no other pair is lost.
     """
-    # Every level reads the signatures, so they are computed once and kept.
-    x_rest = cut(band_keys(left, bands, rows, levels, k).withColumnRenamed("id", "x"))
-    y_rest = cut(band_keys(right, bands, rows, levels, k).withColumnRenamed("id", "y"))
-    found = []
-    for i in range(len(levels)):
-        key = ["band", f"k{i}"]
-        if i == len(levels) - 1:
-            found.append(x_rest.join(y_rest.select("y", *key), key).select("x", "y"))
-            break
-        sizes = (
-            x_rest.groupBy(*key).agg(F.count("*").alias("nx"))
-            .join(y_rest.groupBy(*key).agg(F.count("*").alias("ny")), key)
-            .select(*key, (F.col("nx") * F.col("ny") > bucket_pairs).alias("big"))
-        )
-        x_sized, y_sized = x_rest.join(sizes, key), y_rest.join(sizes, key)
-        found.append(
-            x_sized.where("not big").select("x", *key)
-            .join(y_sized.where("not big").select("y", *key), key)
-            .select("x", "y")
-        )
-        x_rest, y_rest = x_sized.where("big").drop("big"), y_sized.where("big").drop("big")
-    return reduce(DataFrame.unionByName, found).distinct()
+    # Read twice, so the signatures are computed once and kept.
+    xs, ys = cut(band_keys(left, "x", bands, rows, k)), cut(band_keys(right, "y", bands, rows, k))
+    met = spread_join(xs, ys, ["band", "key"], "x", block)
+    return met.where(score_bound() >= min_score - 1e-6).select("x", "y").distinct()
 
 
 # Candidates by top-k cosine of TF-IDF.
@@ -132,14 +127,15 @@ def with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(_side(vectors, "x"), "x").join(_side(vectors, "y"), "y")
 
 
-def cosine_candidates(vectors: DataFrame, k: int = 10) -> DataFrame:
+def cosine_candidates(vectors: DataFrame, k: int = 10, block: int = 10_000) -> DataFrame:
     """(x, y, cosine): for each y the ``k`` most similar x, ties to the lower x; exact.
 
     Cold terms: posting lists are joined. Hot terms, which may sit in most names: names with
     the same hot terms form one profile, and over hot terms alone all y of a profile rank the
     x alike, the x of a profile by their norm. So ``k`` x per x-profile and the ``k`` best of
     these per y-profile hold every answer that shares hot terms only, and the work grows with
-    the number of profiles, not of names.
+    the number of profiles, not of names. The x of a hot term are dealt into blocks of about
+    ``block``, so that no task holds them all.
     """
     postings = vectors.select("side", "id", F.explode("terms").alias("t")).where("not t.hot")
     cold = (
@@ -158,8 +154,11 @@ def cosine_candidates(vectors: DataFrame, k: int = 10) -> DataFrame:
         "profile", F.explode("hot_terms").alias("t")
     )
     shared = (
-        shapes.select("profile", "t.term", F.col("t.w").alias("wy"))
-        .join(x_best.select("x", "norm", "t.term", F.col("t.w").alias("wx")), "term")
+        spread_join(
+            x_best.select("x", "norm", "t.term", F.col("t.w").alias("wx")),
+            shapes.select("profile", "t.term", F.col("t.w").alias("wy")),
+            ["term"], "x", block,
+        )
         .groupBy("profile", "x", "norm")
         .agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
         .withColumn("score", F.round(F.try_divide("dot", "norm"), 9))
@@ -196,7 +195,11 @@ def best_matches(pairs: DataFrame) -> DataFrame:
 
 
 def attach_names(best: DataFrame, companies: DataFrame, orgs: DataFrame) -> DataFrame:
-    """Ids and names of both sides; a y may match once, an x any number of times."""
+    """Ids and names of both sides; a y may match once, an x any number of times.
+
+    The matches are written first, so checking their keys doesn't run the matching again.
+    """
+    best = cut(best)
     validate_keys(best, ["y"])
     validate_keys(orgs, ["y"])
     validate_keys(companies, ["x"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +34,18 @@ def ratio_per_head(gva: DataFrame, population: DataFrame) -> DataFrame:
     return gva.join(population, keys).select(*keys, F.bround(per_head, 2).alias("gva_pc"))
 
 
-def clean_indicator(
-    df: DataFrame,
-    indicator: str,
-    value_column: str,
-    source: str,
-    indicator_column: str = "MEASURES_NAME",
-) -> DataFrame:
-    """Rows of one indicator in the shared long form; the date becomes a year."""
-    return df.where(F.col(indicator_column) == indicator).select(
-        F.split_part(F.col("DATE").cast("string"), F.lit("-"), F.lit(1)).cast("int").alias("date"),
-        F.col("GEOGRAPHY_NAME").alias("geography_name"),
-        F.col("GEOGRAPHY_CODE").alias("geography_code"),
-        F.col(value_column).alias("variable"),
-        F.col("OBS_VALUE").alias("value"),
-        F.lit(source).alias("source"),
+def clean_indicator(df: DataFrame, only: Mapping[str, str], variable: str, **added: str) -> DataFrame:
+    """An extract in the shared long form: the rows that ``only`` selects, the date as a year.
+
+    ``only`` gives the value that a column must have, ``variable`` names the column of the
+    indicator's name, and ``added`` are columns with one value, such as the source.
+    """
+    year = F.split_part(F.col("DATE").cast("string"), F.lit("-"), F.lit(1)).cast("int")
+    named = {"geography_name": "GEOGRAPHY_NAME", "geography_code": "GEOGRAPHY_CODE", "variable": variable, "value": "OBS_VALUE"}
+    for column, value in only.items():
+        df = df.where(F.col(column) == value)
+    return df.select(
+        year.alias("date"), *[F.col(c).alias(out) for out, c in named.items()], *[F.lit(v).alias(c) for c, v in added.items()]
     )
 
 

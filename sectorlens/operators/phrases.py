@@ -25,11 +25,11 @@ def document_frequency(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def kept_tokens(
-    corpus: DataFrame, no_below: int = 10, no_above: float = 0.9, keep_n: int | None = 1_000_000
+    corpus: DataFrame, no_below: int = 10, no_above: float = 0.9, keep_n: int | None = None
 ) -> DataFrame:
-    """(token, df) of the tokens that pass the frequency limits, at most ``keep_n`` of them.
+    """(token, df) of the tokens that pass the frequency limits.
 
-    Of more, the most frequent stay; equal frequencies go by token.
+    With ``keep_n`` only so many of the most frequent stay; equal frequencies go by token.
     """
     documents = corpus.agg(F.count("*").alias("n_docs"))  # a single row
     kept = (
@@ -40,16 +40,13 @@ def kept_tokens(
     )
     if keep_n is None:
         return kept
-    kept = cut(kept)
-    if kept.count() <= keep_n:
-        return kept
     whole = kept.withColumn("_all", F.lit(0))
     order = [-F.col("df"), F.col("token")]
     return ranked(whole, ["_all"], order).where(F.col("rn") <= keep_n).select("token", "df")
 
 
 def filter_frequency(
-    corpus: DataFrame, no_below: int = 10, no_above: float = 0.9, keep_n: int | None = 1_000_000
+    corpus: DataFrame, no_below: int = 10, no_above: float = 0.9, keep_n: int | None = None
 ) -> DataFrame:
     """The corpus with only the kept tokens, in order; documents left without tokens stay."""
     kept = kept_tokens(corpus, no_below, no_above, keep_n).select("token")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,16 @@ def embed_tokens(corpus: DataFrame, dim: int = 64, hashes: int = 4, seed: int =
         .groupBy("org_id", "p.place")
         .agg(F.sum(F.col("w") * F.col("p.sign")).alias("v"))
     )
+    # A list of at most `dim` cells per document, spread over the places of the vector.
     cells = sums.groupBy("org_id").agg(
-        *[F.sum(F.when(F.col("place") == i, F.col("v")).otherwise(0.0)).alias(f"v{i}") for i in range(dim)],
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
-    )
-    vector = F.array(
-        *[F.coalesce(F.try_divide(f"v{i}", F.col("norm")), F.lit(0.0)).cast("float") for i in range(dim)]
+        F.collect_list("place").alias("places"), F.collect_list("v").alias("values"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")
     )
+
+    def value(place: Column) -> Column:
+        found = F.get("values", F.coalesce(F.array_position("places", place), F.lit(0)).cast("int") - 1)
+        return F.coalesce(F.try_divide(found, F.col("norm")), F.lit(0.0)).cast("float")
+
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
     return corpus.select("org_id").join(cells, "org_id", "left").select("org_id", vector.alias("embedding"))
 
 

@@ -6,33 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.operators import matching as m
+from sectorlens.session import scratch_path
+from sectorlens.sources.store import persist_pairs
 
 
 def match_names(
     companies: DataFrame,
     orgs: DataFrame,
-    clean: bool = True,
+    clean: bool = False,
     k: int = 3,
     bands: int = 16,
     rows: int = 4,
     top_k: int = 10,
     min_score: float = 50,
-    bucket_pairs: int = 10_000,
     hot_pairs: int = 1_000_000,
+    pairs_path: str | None = None,
 ) -> DataFrame:
-    """(x, y, sim_mean): the best company row ``x`` for each organisation row ``y``.
+    """(sim_mean, org_id, org_name, company_number, company_name): the best company of each organisation.
 
-    ``companies`` has (x, name), ``orgs`` (y, name). Rows that share a name share its match.
+    ``companies`` has (company_number, company_name), ``orgs`` (org_id, org_name), each id once.
+    Rows that share a name share its match. All scored pairs of distinct names are kept under
+    ``pairs_path``, or in the shared folder.
     """
-    x_names, y_rows = m.cleaned(companies, "x", clean), m.cleaned(orgs, "y", clean)
-    left, right = m.distinct_names(x_names), m.distinct_names(y_rows)
+    x_rows = companies.select(F.col("company_number").alias("x"), F.col("company_name").alias("name"))
+    y_rows = m.cleaned(orgs.select(F.col("org_id").alias("y"), F.col("org_name").alias("name")), "y", clean)
+    left, right = m.distinct_names(m.cleaned(x_rows, "x", clean)), m.distinct_names(y_rows)
     vectors = m.tfidf_vectors(left, right, hot_pairs)
     pairs = m.union_candidates(
-        m.lsh_candidates(left, right, k, bands, rows, bucket_pairs=bucket_pairs),
-        m.cosine_candidates(vectors, top_k),
+        m.lsh_candidates(left, right, k, bands, rows, min_score), m.cosine_candidates(vectors, top_k)
     )
-    best = m.best_matches(m.score_pairs(pairs, vectors, k, min_score))
-    named = best.withColumnRenamed("y", "first_y").join(
+    scored = persist_pairs(
+        m.score_pairs(pairs, vectors, k, min_score), pairs_path or scratch_path(companies.sparkSession, "pairs")
+    )
+    named = m.best_matches(scored).withColumnRenamed("y", "first_y").join(
         right.select(F.col("id").alias("first_y"), "name"), "first_y"
     )
-    return y_rows.select(F.col("id").alias("y"), "name").join(named, "name").select("x", "y", "sim_mean")
+    best = y_rows.select(F.col("id").alias("y"), "name").join(named, "name").select("x", "y", "sim_mean")
+    return m.attach_names(
+        best, companies.withColumn("x", F.col("company_number")), orgs.withColumn("y", F.col("org_id"))
+    )

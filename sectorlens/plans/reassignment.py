@@ -55,6 +55,7 @@ def reassign_orgs(
         )
 
     known = original.withColumnRenamed("label", "original_text_sector")
+    # The columns of the result table.
     columns = [
         "param", "clustered", "org_id", "original_text_sector", "assigned_text_sector", "knn_org_ids",
         "knn_original_text_sectors", "knn_assigned_text_sectors", "knn_sims", "agg_sectors", "agg_sims",

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "sectorlens", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the jobs rely on; a cluster's own settings win."""
+def build_session(app: str = "sectorlens", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
+    """Session with the settings the jobs rely on; ``shared`` is a folder that all machines see."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -18,6 +18,7 @@ def build_session(app: str = "sectorlens", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **({"spark.checkpoint.dir": shared} if shared else {}),
         **conf,
     }
     for key, value in settings.items():
@@ -26,15 +27,21 @@ def build_session(app: str = "sectorlens", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one in local mode only."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sectorlens-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured is None:
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sectorlens-"))
     return configured or context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table that one job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -17,14 +17,17 @@ INDICATOR_SCHEMA = (
 )
 
 
-def read_sheet(spark: SparkSession, path: str, columns: Sequence[str], skip_rows: int) -> DataFrame:
+def read_sheet(
+    spark: SparkSession, path: str, columns: Sequence[str], skip_rows: int, line_breaks: bool = False
+) -> DataFrame:
     """A sheet as strings under the given column names.
 
     The export leads with the sheet's row number (from 0), so the sheet may come in any number
     of files. Rows before ``skip_rows`` are titles and headers; empty rows go; cells are trimmed.
+    Only with ``line_breaks`` may a cell hold a line break, as Spark can't split such files.
     """
     schema = ", ".join([f"{ROW_NO} long", *[f"`{c}` string" for c in columns]])
-    rows = spark.read.schema(schema).option("multiLine", True).csv(path)
+    rows = spark.read.schema(schema).option("multiLine", line_breaks).csv(path)
     return (
         rows.where(F.col(ROW_NO) >= skip_rows)
         .dropna(how="all", subset=[f"`{c}`" for c in columns])

@@ -55,28 +55,55 @@ def test_cosine_candidates_are_exact_with_hot_terms(spark):
     want = brute_cosine(xs, ys, 5)
     for hot_pairs in (0, 200, 10**9):  # all terms hot, the common ones, none
         vectors = m.tfidf_vectors(left, right, hot_pairs)
-        got = {(r.x, r.y) for r in m.cosine_candidates(vectors, 5).collect()}
-        assert got == want, hot_pairs
+        for block in (3, 10**6):
+            got = {(r.x, r.y) for r in m.cosine_candidates(vectors, 5, block).collect()}
+            assert got == want, (hot_pairs, block)
 
 
-def test_lsh_finds_equal_names_even_in_split_buckets(spark):
+def test_lsh_loses_no_pair_in_split_buckets(spark):
     names = [(i, f"north sea trading house {i:03d}") for i in range(120)]
     df = spark.createDataFrame(names, "id long, name string")
-    for bucket_pairs in (50, 10**6):
-        pairs = {(r.x, r.y) for r in m.lsh_candidates(df, df, bucket_pairs=bucket_pairs).collect()}
-        assert {(i, i) for i, _ in names} <= pairs
+    whole = {(r.x, r.y) for r in m.lsh_candidates(df, df, block=10**6).collect()}
+    assert {(i, i) for i, _ in names} <= whole and len(whole) > 120 * 60
+    for block in (1, 7, 50):
+        assert {(r.x, r.y) for r in m.lsh_candidates(df, df, block=block).collect()} == whole
+
+
+def test_score_bound_loses_no_match(spark):
+    names = [(1, "a"), (2, "ab"), (3, "abcabcabc"), (4, "abcabc"), (5, "north sea trading"), (6, "north sea trade"), (7, "")]
+    df = spark.createDataFrame(names, "id long, name string")
+    every = m.score_pairs(df.select(F.col("id").alias("x")).join(df.select(F.col("id").alias("y"))), m.tfidf_vectors(df, df), min_score=0)
+    sizes = df.select("id", F.length("name").alias("length"), F.size(m.shingles("name", 3)).alias("size"))
+    bounded = every.join(sizes.toDF("x", "length_x", "size_x"), "x").join(sizes.toDF("y", "length_y", "size_y"), "y")
+    assert bounded.where(m.score_bound() < F.col("sim_mean") - 1e-6).count() == 0
+
+
+def test_one_changed_letter_in_a_common_form(spark):
+    """Names of one form that differ in a single word, with one letter changed on the other side."""
+    import random
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(9)) for _ in range(300)})
+    left = [(i, f"{w} construction") for i, w in enumerate(words)]
+    right = [(i, f"{w[:4]}x{w[5:]} construction") for i, w in enumerate(words)]
+    companies = spark.createDataFrame(left, "company_number long, company_name string")
+    orgs = spark.createDataFrame(right, "org_id long, org_name string")
+    got = match_names(companies, orgs).collect()
+    assert sum(r.org_id == r.company_number for r in got) >= 0.99 * len(words)
 
 
 def test_match_names(spark):
     companies = spark.createDataFrame(
         [(0, "Northern Steel Ltd"), (1, "NORTHERN STEEL LIMITED"), (2, "Bakery of Leeds plc"), (3, "Quick Couriers")],
-        "x long, name string",
+        "company_number long, company_name string",
     )
     orgs = spark.createDataFrame(
         [(10, "northern steel"), (11, "Northern Steel"), (12, "Leeds Bakery"), (13, "zzz"), (14, "Quick Courier")],
-        "y long, name string",
+        "org_id long, org_name string",
     )
-    got = {r.y: (r.x, r.sim_mean) for r in match_names(companies, orgs).collect()}
+    found = match_names(companies, orgs, clean=True)
+    assert found.columns == ["sim_mean", "org_id", "org_name", "company_number", "company_name"]
+    got = {r.org_id: (r.company_number, r.sim_mean) for r in found.collect()}
     assert got[10] == got[11] == (0, 100.0)
     assert got[14][0] == 3 and 13 not in got
 

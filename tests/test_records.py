@@ -68,6 +68,19 @@ def test_day_first_dates(spark):
     assert got == [DAY(2001, 4, 3), None, None, DAY(2001, 4, 3), None]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("03/04/01", DAY(2001, 4, 3)), ("03/04/98", DAY(1998, 4, 3)), ("3-4-69", DAY(1969, 4, 3)), ("2001-04-03 00:00:00", DAY(2001, 4, 3)),
+        ("2001-04-03T12:30:00Z", DAY(2001, 4, 3)), ("3/4/2001 9:05", DAY(2001, 4, 3)), ("3 April 2001", DAY(2001, 4, 3)),
+        ("3 Apr 2001", DAY(2001, 4, 3)), ("20010403", DAY(2001, 4, 3)), ("13/13/2001", None), ("", None), ("29/02/2001", None),
+    ],
+)
+def test_more_dates(spark, text, want):
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(day_first_date("s").alias("d")).first().d == want
+
+
 SHEET = [
     ("A", "Farming", None, None, None, None, None, None, None, None),
     (None, None, "01", "Crops", None, None, None, None, None, None),
@@ -135,7 +148,7 @@ def test_yearly_sheet_headers_and_ratio(spark):
 def test_indicator_dates(spark):
     schema = "DATE string, GEOGRAPHY_NAME string, GEOGRAPHY_CODE string, V string, MEASURES_NAME string, OBS_VALUE double"
     df = spark.createDataFrame([("2019-12", "a", "1", "x", "Value", 1.0), ("2018", "a", "1", "x", "Other", 2.0)], schema)
-    assert rows(official.clean_indicator(df, "Value", "V", "aps"), "date", "source") == [(2019, "aps")]
+    assert rows(official.clean_indicator(df, {"MEASURES_NAME": "Value"}, "V", source="aps"), "date", "source") == [(2019, "aps")]
 
 
 def test_snapshots(spark):

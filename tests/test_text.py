@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sectorlens.functions import text as x
 from sectorlens.operators import graph as g
 from sectorlens.operators import phrases
-from sectorlens.plans.descriptions import description_tokens
+from sectorlens.plans.descriptions import description_tokens, tokenized
 
 
 def column(spark, values, expression):
@@ -115,3 +115,36 @@ def test_matrix_edges(spark):
     half = spark.createDataFrame([("w", 1.5)], "word string, d1 double")
     with pytest.raises(ValueError):
         g.matrix_edges(half, "word", ["d1"], "s", counts=False)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("it&#x27;s 3 &times; 4", "it's 3 × 4"), ("&#65;&#X42;&#0;&#xD800;", "AB&#0;&#xD800;"), ("a&nbsp;b &amp;lt; c", "a b &lt; c"),
+        ("fish & chips &unknown; &lt", "fish & chips &unknown; &lt"), ("&Eacute;&eacute;&hearts;&#128512;", "Éé♥😀"), ("&", "&"), ("", ""), (None, None),
+    ],
+)
+def test_character_references(spark, text, want):
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(x.decode_references("s").alias("s")).first().s == want
+
+
+def test_gazetteer_names(spark):
+    df = spark.createDataFrame(
+        [(1, "we trade in north wales and wales"), (2, "no places here"), (3, ""), (4, "new york city limits, new york"), (5, "the stag inn of wales")],
+        "org_id int, description string",
+    )
+    names = spark.createDataFrame(
+        [("Wales", "GPE"), ("North Wales", "LOC"), ("New York", "GPE"), ("New York City", "GPE"), ("york city limits", "ORG"), ("", "LOC"), ("Wales", "ORG")],
+        "name string, kind string",
+    )
+    got = {r.org_id: r.tokens for r in tokenized(df, gazetteer=names).collect()}
+    assert got[1] == ["trade", "LOC", "GPE"] and got[2] == ["place"] and got[3] == []
+    assert got[4] == ["GPE", "limit", "GPE"] and got[5] == ["stag", "inn", "GPE"]
+
+
+def test_only_matched_descriptions_are_tokenised(spark):
+    df = spark.createDataFrame([(i, "steel pipes") for i in range(12)], "org_id int, description string")
+    matched = spark.createDataFrame([(i,) for i in range(11)], "org_id int")
+    got = description_tokens(df, n=2, matched=matched).collect()
+    assert sorted(r.org_id for r in got) == list(range(11))

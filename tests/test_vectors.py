@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,19 +46,26 @@ def test_knn_with_few_vectors_and_outside_queries(spark):
     assert got == [(9, 1, 1), (9, 2, 2)]
 
 
-def reference_loop(neighbours, labels, min_sim, n_iter, epsilon):
-    labels, shift, done = dict(labels), epsilon, 0
-    while shift >= epsilon and done < n_iter:
-        new = {}
-        for q, hits in neighbours.items():
-            sims = {}
-            for j, s in hits:
-                sims.setdefault(labels[j], []).append(s)
-            best = max((round(float(np.mean(v)), 12), label) for label, v in sims.items())
-            new[q] = best[1] if best[0] >= min_sim else labels[q]
-        shift = sum(new[q] != labels[q] for q in new) / len(new)
-        labels, done = new, done + 1
-    return labels
+def next_labels(neighbours, labels, min_sim):
+    """Labels after one pass, from a table of similarities per node and label."""
+    out = {}
+    for node, hits in neighbours.items():
+        table = pd.DataFrame({"label": [labels[j] for j, _ in hits], "sim": [s for _, s in hits]})
+        means = table.groupby("label")["sim"].mean().round(12)
+        top = means[means == means.max()].index.max()
+        out[node] = top if means.max() >= min_sim else labels[node]
+    return out
+
+
+def all_passes(neighbours, labels, min_sim, n_iter, epsilon):
+    """The labels after the pass that moves too few nodes, or after the last pass."""
+    history = [labels]
+    for _ in range(n_iter):
+        history.append(next_labels(neighbours, history[-1], min_sim))
+        moved = np.mean([history[-1][q] != history[-2][q] for q in neighbours])
+        if moved < epsilon:
+            break
+    return history[-1]
 
 
 @pytest.mark.parametrize("n_iter,epsilon", [(1, 0.0), (20, 0.05), (4, 0.0)])
@@ -67,7 +75,7 @@ def test_reassign_equals_a_plain_loop_per_parameter(spark, n_iter, epsilon):
     for param in ("p", "q"):
         labels = {i: f"s{rng.integers(0, 4)}" for i in range(60)}
         hits = {i: [(int(j), round(float(rng.uniform(0.4, 0.9)), 9)) for j in rng.choice([j for j in range(60) if j != i], 6, replace=False)] for i in range(60)}
-        want[param] = reference_loop(hits, labels, 0.6, n_iter, epsilon)
+        want[param] = all_passes(hits, labels, 0.6, n_iter, epsilon)
         label_rows += [(param, i, s) for i, s in labels.items()]
         knn_rows += [(param, i, rank, j, s) for i, h in hits.items() for rank, (j, s) in enumerate(h, 1)]
     knn = spark.createDataFrame(knn_rows, "param string, query_id long, rank int, neighbour_id long, sim double")
@@ -150,7 +158,8 @@ def planted(spark, sectors):
 
 def test_cocluster_recovers_planted_groups(spark):
     edges = planted(spark, {"a": 2, "b": 3})
-    docs, words = cc.cocluster(edges, group_numbers=((2, 2), (3, 3), (5, 5)), n_init=2, max_iter=10)
+    docs, words, report = cc.cocluster(edges, group_numbers=((2, 2), (3, 3), (5, 5)), n_init=3, max_iter=10)
+    assert {x.sector: x.used_docs for x in report.collect()} == {"a": 2, "b": 3} and all(x.converged for x in report.collect())
     found = {(x.sector, x.doc_id): x.doc_group for x in docs.collect()}
     assert len(found) == 180
     for sector, groups in (("a", 2), ("b", 3)):
@@ -164,7 +173,27 @@ def test_cocluster_recovers_planted_groups(spark):
 def test_chosen_run_is_the_shortest(spark):
     edges = planted(spark, {"a": 2})
     history, _, _ = cc.fit_runs(edges, ((2, 2),), max_iter=6, epsilon=0.0)
-    fits = [x.fit for x in history.orderBy("pass").collect()]
-    assert max(fits) >= fits[0]
-    chosen = cc.choose_runs(edges, history).first()
-    assert abs(fits[chosen["pass"]] - max(fits)) < 1e-6
+    rows = history.orderBy("pass").collect()
+    chosen = cc.choose_runs(history).first()
+    assert chosen.description_length == min(x.description_length for x in rows)
+    assert max(x.fit for x in rows) >= rows[0].fit
+
+
+def test_group_numbers_have_no_fixed_end(spark):
+    edges = planted(spark, {"a": 2, "c": 15})
+    docs, _, report = cc.cocluster(edges, n_init=2)
+    used = {x.sector: x.used_docs for x in report.collect()}
+    assert used["a"] <= 4 < used["c"]
+    groups = {}
+    for x in docs.where("sector = 'c'").collect():
+        groups.setdefault(x.doc_group, []).append(x.doc_id % 15)
+    assert len(groups) == used["c"]
+
+
+def test_description_length_terms(spark):
+    row = spark.range(1).select(
+        cc.log_factorial(F.lit(20.0)).alias("f"), cc.log_factorial(F.lit(0.0)).alias("z"), cc.log_choose(F.lit(50.0), F.lit(20.0)).alias("c")
+    ).first()
+    import math
+
+    assert abs(row.f - math.lgamma(21)) < 0.01 and row.z == 0 and abs(row.c - math.log(math.comb(50, 20))) < 0.02
