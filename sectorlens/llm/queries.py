@@ -80,12 +80,44 @@ def op9(documents: DataFrame) -> DataFrame:
     return packing.pack(documents)
 
 
-@query("op4_jaccard_join", "documents")
+# Who reaches whom over links, and the smallest of these; {nodes} are all nodes, {links} their pairs.
+REACHED = """both_ways as (select x, y from {links} union all select y, x from {links}),
+    reach(node, root) as (select node, node from {nodes} union select b.y, r.root from reach r join both_ways b on b.x = r.node),
+    component as (select node, min(root) as component_id from reach group by node)"""
+
+JACCARD_SQL = f"""with recursive words as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    shingles as (
+      select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+        when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+    nodes as (select doc_id as node, len(s) as n from shingles),
+    each as (select doc_id, unnest(s) as s from shingles),
+    common as (select a.doc_id as x, b.doc_id as y, count(*) as k from each a join each b on a.s = b.s and a.doc_id < b.doc_id group by all),
+    links as (
+      select x, y from common join nodes p on p.node = x join nodes q on q.node = y where 100 * k >= {jaccard.PERCENT} * (p.n + q.n - k)),
+    {REACHED.format(links="links", nodes="nodes")}
+    select node as doc_id, n::bigint as n_shingles, component_id from nodes join component using (node)"""
+
+
+@query("op4_jaccard_join", "documents", JACCARD_SQL)
 def op4(documents: DataFrame) -> DataFrame:
     return jaccard.jaccard_components(documents)
 
 
-@query("op7_near_vectors", "embeddings")
+NEAR_SQL = f"""with recursive nodes as (select vec_id as node, embedding::double[] as v from embeddings),
+    usable as (
+      select *, sqrt(list_dot_product(v, v)) as norm from nodes
+      where v is not null and not list_contains(list_transform(v, lambda e: e is null or not isfinite(e)), true) and list_dot_product(v, v) > 0),
+    links as (
+      select a.node as x, b.node as y from usable a join usable b on a.node < b.node and len(a.v) = len(b.v)
+      where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {neardup.COSINE}),
+    {REACHED.format(links="links", nodes="nodes")},
+    counts as (select x as node, count(*) as n_links from both_ways group by x)
+    select node as vec_id, coalesce(n_links, 0) as n_links, component_id, node = component_id as kept
+    from nodes join component using (node) left join counts using (node)"""
+
+
+@query("op7_near_vectors", "embeddings", NEAR_SQL)
 def op7(embeddings: DataFrame) -> DataFrame:
     return neardup.near_vectors(embeddings)
 
