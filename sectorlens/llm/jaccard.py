@@ -1,19 +1,19 @@
 """Exact Jaccard join of word shingle sets: size-banded tiles, bitmap signatures, exact intersection.
 
-1. Each text becomes its sorted set of shingle hashes and a digest. Texts with equal sets are one
-   class, kept by its smallest doc_id.
-2. Two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of any common order;
-   frequent ones are ordered last. Classes that share such a shingle, through steps of sizes that can
-   link, form a cluster; one edge per class and shingle ties it to the smallest of them.
-3. A cluster is sorted by size and cut into blocks. A tile is a pair of blocks whose size bands can
-   link, and holds at most two blocks, whatever the size of the cluster. Within a tile, bit counts of
-   hashed bitmaps bound each pair's overlap from above, and what may still link is intersected
-   exactly. A pair that the tile's earlier links already connect needs no check, and only
-   connecting links leave the tile, never all pairs of a group.
-4. Components of the links give the result.
-
-No link is lost: frequent shingles only change the common order. Shingles are compared as 64-bit
-hashes.
+1. Each text becomes its sorted set of shingle hashes, a hashed bitmap (its width follows the size)
+   and a digest. Texts with equal sets are one class, kept by its smallest doc_id.
+2. A cheap pass ties each class to the leaders (lowest and highest hash) of the tiles that its few
+   smallest shingles and its size band name, and verifies those pairs. This finds most copies with
+   a few pairs per class, whatever the size of a group.
+3. The complete pass: two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of
+   any common order, so each class enters the tiles of those shingles, frequent ones ordered last.
+   A tile is sorted by size and only compares sizes within the band that can link, and only classes
+   of different components, as the components already found need no further link.
+4. Bit counts of the signatures bound a pair's overlap from above; what may still link is verified
+   on the sorted arrays. Components of all links give the result.
+
+No link is lost: step 2 only saves pairs, and frequent shingles only change the common order.
+Shingles are compared as 64-bit hashes.
 
 Null and empty texts have the empty set and link with nothing. A repeated row is in the class of its
 copy; rows that share a doc_id belong to one component. Rows with a null doc_id have a null
@@ -28,49 +28,60 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sectorlens.llm.arrow import runs, text_slices
+from sectorlens.llm.arrow import SLICE_BYTES, runs, text_slices
 from sectorlens.llm.components import components
 from sectorlens.llm.words import shingle_sets
 from sectorlens.session import cut
 
 WORDS = 5
 PERCENT = 80
+LOW = 12  # shingles per class in the cheap pass
 OFTEN = 3  # occurrences among COUNTED shingles from which a task reports a shingle
 COUNTED = 4_000_000
 FREQUENT = 500_000  # so many of the most frequent shingles are known by frequency
 RECORDS = 250_000  # tile records per bucket
 WIDEST = 8192  # bits of the widest signature
-BLOCK = 500  # classes per block of a cluster
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of equal width, a row of 64-bit words per set: twice the largest set's bits, up to the widest."""
+def signature(shingles: np.ndarray) -> bytes:
+    """A bitmap of at least twice as many bits as shingles, a power of two, up to the widest."""
     width = 64
-    while width < 2 * max(map(len, sets)) and width < WIDEST:
+    while width < 2 * len(shingles) and width < WIDEST:
         width *= 2
-    bits = np.zeros((len(sets), width), bool)
-    for row, shingles in zip(bits, sets, strict=True):
-        row[(shingles % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    bits = np.zeros(width, bool)
+    bits[(shingles % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def overlap_bounds(one: np.ndarray, others: np.ndarray, n_one: int, n_others: np.ndarray) -> np.ndarray:
+def _folded(bits: bytes, size: int) -> int:
+    value = int.from_bytes(bits, "little")
+    for half in (4 * len(bits) >> i for i in range(32)):
+        if half < 8 * size:
+            return value
+        value = value >> half | value & (1 << half) - 1
+    return value
+
+
+def overlap_bound(left: bytes, right: bytes, n_left: int, n_right: int) -> int:
     """No more common shingles than this: a bit of one side alone stands for a shingle of that side alone."""
-    common = np.bitwise_count(others & one).sum(axis=1, dtype=np.int64)
-    alone = int(np.bitwise_count(one).sum()) - common
-    alone_others = np.bitwise_count(others).sum(axis=1, dtype=np.int64) - common
-    return np.minimum(n_one - alone, n_others - alone_others)
+    size = min(len(left), len(right))
+    a, b = _folded(left, size), _folded(right, size)
+    return min(n_left - (a & ~b).bit_count(), n_right - (b & ~a).bit_count())
 
 
-def links(common, n_left, n_right, percent: int = PERCENT):
+def links(common: int, n_left: int, n_right: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (n_left + n_right - common)
 
 
-def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """Size, digest and compressed text per document.
+def band(n: int, percent: int = PERCENT) -> int:
+    """Sizes whose ratio is below 100 / percent share a band or lie in neighbouring bands."""
+    return int(np.log(max(n, 1)) / np.log(100 / percent))
+
+
+def sets_of(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Size, digest, signature, smallest shingles and compressed text per document.
 
     Some rows, with a null doc_id and size -1, carry shingles that a task met often.
     """
@@ -78,7 +89,7 @@ def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def frequent(seen: list[np.ndarray]):
         values, counts = np.unique(np.concatenate(seen), return_counts=True)
         often = counts >= OFTEN
-        empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.binary())]
+        empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary())]
         lists = [pa.array([x[often].astype(np.int64)], pa.list_(pa.int64())) for x in (values.view(np.int64), counts)]
         return pa.RecordBatch.from_arrays([empty[0], pa.array([-1], pa.int64()), *empty[1:], *lists], names)
 
@@ -98,6 +109,9 @@ def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([band(len(s), percent) for s in sets], pa.int32()),
+                    pa.array([signature(s) for s in sets], pa.binary()),
+                    pa.array([s[:LOW].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([press.compress(content[a:b]) for a, b in zip(marks[:-1], marks[1:], strict=True)], pa.binary()),
                     *[pa.nulls(len(sets), pa.list_(pa.int64()))] * 2,
                 ],
@@ -106,11 +120,76 @@ def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
         if seen:
             yield frequent(seen)
 
-    schema = "doc_id long, n long, digest binary, packed binary, frequent array<long>, times array<long>"
+    schema = (
+        "doc_id long, n long, digest binary, band int, signature binary, low array<long>, packed binary, "
+        "frequent array<long>, times array<long>"
+    )
     names = [part.split(" ")[0] for part in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
+def sets_of_packed(packed: list[bytes], k: int) -> list[np.ndarray]:
+    """Shingle sets of compressed texts, opened a few megabytes at a time."""
+    open_, sets, texts, held = zstandard.ZstdDecompressor(), [], [], 0
+    for i, one in enumerate(packed, 1):
+        texts.append(open_.decompress(one))
+        held += len(texts[-1])
+        if held > SLICE_BYTES or i == len(packed):
+            bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
+            sets += shingle_sets(np.frombuffer(b"".join(texts), np.uint8), bounds, k)
+            texts, held = [], 0
+    return sets
+
+
+def verify(pairs: DataFrame, classes: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``(a, b)`` that link, by exact intersection of their sets."""
+    sides = [
+        classes.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "signature", "packed")])
+        for c in ("a", "b")
+    ]
+
+    def rows(batches):
+        known: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for low in range(0, whole.num_rows, 500):
+                batch = whole.slice(low, 500)
+                part = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+                may = [
+                    i for i in range(batch.num_rows)
+                    if links(
+                        overlap_bound(part["signature_a"][i], part["signature_b"][i], part["n_a"][i], part["n_b"][i]),
+                        part["n_a"][i], part["n_b"][i], percent,
+                    )
+                ]
+                need = {part[c][i]: part[f"packed_{c}"][i] for i in may for c in ("a", "b")}
+                known = {key: known[key] for key in need if key in known}
+                new = [key for key in need if key not in known]
+                known |= zip(new, sets_of_packed([need[key] for key in new], k), strict=True)
+                kept = [
+                    i for i in may
+                    if links(
+                        len(np.intersect1d(known[part["a"][i]], known[part["b"][i]], True)),
+                        part["n_a"][i], part["n_b"][i], percent,
+                    )
+                ]
+                yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(rows, "a long, b long")
+
+
+def leader_pairs(classes: DataFrame) -> DataFrame:
+    """Each class with the two leaders of every tile that its smallest shingles and its band name."""
+    rows = classes.select("rep", "band", F.explode("low").alias("key")).withColumn("h", F.xxhash64("rep"))
+    leaders = rows.groupBy("key", "band").agg(
+        F.min_by("rep", "h").alias("first"), F.max_by("rep", "h").alias("last")
+    ).where("first <> last")
+    paired = rows.join(leaders, ["key", "band"]).select("rep", F.explode(F.array("first", "last")).alias("lead"))
+    return (
+        paired.where("rep <> lead")
+        .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    )
+
+
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the most frequent shingles, at most `FREQUENT`, and a rank class of their counts.
 
@@ -136,15 +215,8 @@ def _prefix(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, perce
     return shingles[:size]
 
 
-#: The key is half of the shingle's hash, as a bucket has few enough shingles; a clash only widens a cluster.
-RECORD = np.dtype([("key", np.uint32), ("n", np.int64), ("rep", np.int64)])
-
-
-def _sets_of_packed(packed: list[bytes], k: int) -> list[np.ndarray]:
-    open_ = zstandard.ZstdDecompressor()
-    texts = [open_.decompress(p) for p in packed]
-    bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
-    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), bounds, k)
+#: The key is half of the shingle's hash, as a bucket has few enough shingles; a clash only adds a candidate.
+RECORD = np.dtype([("key", np.uint32), ("n", np.int64), ("rep", np.int64), ("component", np.int64)])
 
 
 def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, percent: int) -> DataFrame:
@@ -155,14 +227,14 @@ def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, perc
         for whole in batches:
             for low in range(0, whole.num_rows, 1000):
                 batch = whole.slice(low, 1000)
-                sets = _sets_of_packed(batch.column("packed").to_pylist(), k)
+                sets = sets_of_packed(batch.column("packed").to_pylist(), k)
                 keys = [_prefix(s, frequent, times, percent) for s in sets]
                 lengths = np.array([len(x) for x in keys])
                 records = np.zeros(lengths.sum(), RECORD)
                 shingles = np.concatenate(keys)
                 records["key"] = shingles >> np.uint64(32)
-                for name in ("n", "rep"):
-                    records[name] = np.repeat(batch.column(name).to_numpy(zero_copy_only=False), lengths)
+                for name, column in (("n", "n"), ("rep", "rep"), ("component", "component")):
+                    records[name] = np.repeat(batch.column(column).to_numpy(zero_copy_only=False), lengths)
                 bucket = (shingles % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 records, bucket = records[order], bucket[order]
@@ -176,7 +248,7 @@ def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, perc
                     [pa.array(bucket[begins], pa.int64()), pa.array(stored, pa.binary())], ["bucket", "records"]
                 )
 
-    return classes.select("rep", "n", "packed").mapInArrow(rows, "bucket long, records binary")
+    return classes.select("rep", "n", "component", "packed").mapInArrow(rows, "bucket long, records binary")
 
 
 def _unpacked(stored: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -189,86 +261,85 @@ def _unpacked(stored: bytes, open_: zstandard.ZstdDecompressor) -> np.ndarray:
     return records
 
 
-def shared_edges(records: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """An edge from each class to the smallest class that shares a shingle with it through linkable sizes."""
-    records = records[np.lexsort((records["n"], records["key"]))]
-    key, n, rep = records["key"], records["n"], records["rep"]
+def tile_pairs(records: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Pairs of classes of different components that share a tile and whose sizes can link."""
+    records = records[np.lexsort((records["component"], records["key"]))]
+    key, component = records["key"], records["component"]
     if not len(key):
         return np.zeros((0, 2), np.int64)
-    begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])])
-    least = np.repeat(np.minimum.reduceat(rep, begins), np.diff(np.r_[begins, len(key)]))
-    return np.unique(np.stack([least, rep], 1)[rep != least], axis=0)
-
-
-def cluster_edges(tiles: DataFrame, percent: int) -> DataFrame:
+    tile = np.r_[True, key[1:] != key[:-1]]
+    block = tile | np.r_[True, component[1:] != component[:-1]]
+    # Keep tiles with more than one component; of each, the largest block is never compared with itself.
+    tile_of_block = (np.cumsum(tile) - 1)[np.flatnonzero(block)]
+    size = np.diff(np.r_[np.flatnonzero(block), len(key)])
+    first = np.flatnonzero(np.r_[True, tile_of_block[1:] != tile_of_block[:-1]])
+    n_blocks = np.diff(np.r_[first, len(size)])
+    largest = np.zeros(len(size), bool)
+    order = np.lexsort((size, tile_of_block))
+    largest[order[np.r_[first[1:], len(size)] - 1]] = True
+    several = np.repeat(np.repeat(n_blocks > 1, n_blocks), size)
+    minor = np.repeat(~largest, size)[several]
+    records = records[several]
+    by_size = np.lexsort((records["n"], records["key"]))
+    records, minor = records[by_size], minor[by_size]
+    key, n, rep, component = (records[c] for c in RECORD.names[:1] + RECORD.names[1:])
+    found = [np.zeros((0, 2), np.int64)]
+    held = 0
+    for step in (1, -1):
+        at, far = np.flatnonzero(minor), step
+        while len(at):
+            to = at + far
+            inside = (to >= 0) & (to < len(key))
+            at, to = at[inside], to[inside]
+            near = (key[at] == key[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to]))
+            at, to = at[near], to[near]
+            apart = component[at] != component[to]
+            pair = np.stack([np.minimum(rep[at], rep[to])[apart], np.maximum(rep[at], rep[to])[apart]], 1)
+            found.append(pair)
+            held += len(pair)
+            if held > 1_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+            far += step
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def candidate_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     def rows(batches):
         open_ = zstandard.ZstdDecompressor()
         for _, table in runs(batches, ["bucket"]):
-            edges = shared_edges(np.concatenate([_unpacked(x, open_) for x in table.column("records").to_pylist()]), percent)
-            for low in range(0, len(edges), 100_000):
-                part = edges[low : low + 100_000]
+            records = np.concatenate([_unpacked(x, open_) for x in table.column("records").to_pylist()])
+            pairs = tile_pairs(records, percent)
+            for low in range(0, len(pairs), 100_000):
+                part = pairs[low : low + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
 
     return tiles.sortWithinPartitions("bucket").mapInArrow(rows, "a long, b long").distinct()
 
 
-def tiles_of(clusters: DataFrame, percent: int, block: int) -> DataFrame:
-    """``(cluster, low, high, own, rep, n)``: every class in each tile of its block."""
-    by_size = W.partitionBy("cluster").orderBy("n", "rep")
-    placed = cut(clusters.withColumn("own", F.floor((F.row_number().over(by_size) - 1) / block).cast("int")))
-    bands = placed.groupBy("cluster", "own").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    lows = bands.select("cluster", F.col("own").alias("low"), "most")
-    highs = bands.select("cluster", F.col("own").alias("high"), "least")
-    pairs = lows.join(highs, "cluster").where((F.col("low") <= F.col("high")) & (100 * F.col("most") >= percent * F.col("least")))
-    homes = pairs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"))
-    return placed.join(homes, ["cluster", "own"])
-
-
-def tile_links(rep: list[int], own: np.ndarray, sets: list[np.ndarray], same: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what a tile's exact links connect; between its two blocks, or within its one."""
-    n, bits = np.array([len(s) for s in sets]), signatures(sets)
-    root = list(range(len(rep)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    found = []
-    second = np.arange(len(rep)) if same else np.flatnonzero(own == own.max())
-    for i in range(len(rep)) if same else np.flatnonzero(own == own.min()).tolist():
-        others = second[second > i] if same else second
-        near = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-        near = near[links(overlap_bounds(bits[i], bits[near], int(n[i]), n[near]), n[i], n[near], percent)]
-        for j in near.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                place = np.minimum(np.searchsorted(sets[j], sets[i]), n[j] - 1)
-                if links(int((sets[j][place] == sets[i]).sum()), int(n[i]), int(n[j]), percent):
-                    root[max(a, b)] = min(a, b)
-                    found.append((rep[i], rep[j]))
-    return found
-
-
-def linked(tiles: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(a, b)``: the connecting links of every tile."""
-    keys = ["cluster", "low", "high"]
+def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures don't rule out a link."""
+    sides = [
+        classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"signature_{c}"))
+        for c in ("a", "b")
+    ]
 
     def rows(batches):
-        for key, table in runs(batches, keys):
-            sets = _sets_of_packed(table.column("packed").to_pylist(), k)
-            found = tile_links(table.column("rep").to_pylist(), table.column("own").to_numpy(), sets, key[1] == key[2], percent)
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+        for batch in batches:
+            sizes, bits = ([batch.column(f"{x}_{c}").to_pylist() for c in ("a", "b")] for x in ("n", "signature"))
+            may = [
+                links(overlap_bound(x, y, m, n), m, n, percent)
+                for x, y, m, n in zip(*bits, *sizes, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
 
-    whole = tiles.join(texts, "rep").select(*keys, "own", "rep", "packed")
-    return whole.repartition(*keys).sortWithinPartitions(*keys, "own", "rep").mapInArrow(rows, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(rows, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per document; see the module's text."""
     spark = docs.sparkSession
-    stored = cut(sets_of(docs, k))
+    stored = cut(sets_of(docs, k, percent))
     sets = stored.where("n >= 0")
     named = sets.where("doc_id is not null and n > 0")
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -277,17 +348,29 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     # Rows that share a doc_id but not a text: tie their classes.
     ids = owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same_id = owner.join(ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    chosen = owner.where("doc_id = rep").select("rep", "n").distinct()
-    # Texts are joined by id and not by digest, so that each use moves them once.
-    texts = named.select(F.col("doc_id").alias("rep"), "n", "packed")
-
-    sizes = chosen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chosen = owner.where("doc_id = rep").select("rep").distinct()
+    # Joined by id and not by digest, so that the texts move once per use.
+    texts = named.select(F.col("doc_id").alias("rep"), "n", "signature", "packed")
+    light = cut(
+        named.select(F.col("doc_id").alias("rep"), "n", "band", "signature", "low").join(chosen, "rep").distinct()
+    )
+
+    likely = cut(within_bound(leader_pairs(light), light, percent))
+    first = cut(verify(likely, texts, k, percent).union(same_id))
+    known = components(first)
+
+    sizes = light.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     expected = sizes[0] + (100 - percent) * sizes[1] // 100
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // RECORDS)
     frequent, times = frequent_shingles(stored)
-    tiles = tile_records(texts.join(chosen, ["rep", "n"]), frequent, times, buckets, k, percent).repartition(buckets, "bucket")
-    clusters = components(cluster_edges(tiles, percent)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    shared = tiles_of(clusters.join(chosen, "rep"), percent, block)
-    total = components(linked(shared.drop("n"), texts.drop("n"), k, percent).union(same_id))
+    placed = chosen.join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep")).join(texts.drop("signature"), "rep")
+    tiles = tile_records(placed, frequent, times, buckets, k, percent).repartition(buckets, "bucket")
+    pairs = cut(within_bound(candidate_pairs(tiles, percent), light, percent))
+    second = cut(verify(pairs, texts, k, percent))
+
+    total = known if second.isEmpty() else components(
+        known.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second)
+    )
     out = members.join(total.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
