@@ -40,6 +40,7 @@ COMMON = 0.3
 FIXED = 0.7
 BLOCK = 4096
 BITS = 22
+LISTED = 500_000  # hashes of recurring lines that may travel with the tasks, 4 MB
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 VARIABLE = np.uint64(1)
@@ -213,33 +214,48 @@ def recurring_lines(found: DataFrame, keyed: DataFrame, shapes: int = SHAPES) ->
 
 def drop_recurring(
     docs: DataFrame, shapes: int = SHAPES, id_col: str = "doc_id", text_col: str = "text",
-    n_lines: str | None = None, n_dropped: str | None = None,
+    n_lines: str | None = None, n_dropped: str | None = None, listed: int = LISTED,
 ) -> DataFrame:
-    """The same rows and columns without the lines of recurring templates, and if named two counts."""
+    """The same rows and columns without the lines of recurring templates, and if named two counts.
+
+    Up to ``listed`` hashes of recurring lines travel with the tasks; more are joined to the rows that
+    hold them, with the same result.
+    """
     keyed = with_keys(docs, id_col, text_col)
     found = cut(line_rows(keyed))
-    drops = found.select("key", "line").distinct().join(recurring_lines(found, keyed, shapes), "line")
-    drops = drops.groupBy("key").agg(F.collect_set("line").alias("drops"))
+    gone_lines = cut(recurring_lines(found, keyed, shapes))
     names = docs.columns
     chosen = docs.select(
         F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")).alias("key"),
         *[F.col(f"`{c}`").alias("text" if c == text_col else f"c{i}") for i, c in enumerate(names)],
-    ).join(cut(drops), "key", "left").drop("key")
+    )
+    known = np.zeros(0, np.int64)
+    if gone_lines.count() <= listed:
+        known = gone_lines.toPandas()["line"].to_numpy(np.int64)
+        chosen = chosen.drop("key")
+    else:
+        drops = found.select("key", "line").distinct().join(gone_lines, "line")
+        drops = drops.groupBy("key").agg(F.collect_set("line").alias("drops"))
+        chosen = chosen.join(cut(drops), "key", "left").drop("key")
 
     def rows(batches):
         for batch, data, bounds in text_slices(batches):
-            drop = batch.column("drops").to_pylist()
             texts = batch.column("text").to_pylist()
+            drop = batch.column("drops").to_pylist() if "drops" in batch.schema.names else [known] * len(texts)
             lines = Lines(data, bounds)
+            listed_here = np.isin(lines.line, known)
             marks = np.searchsorted(lines.text, np.arange(len(texts) + 1)).tolist()
             n, gone = np.diff(marks), np.zeros(len(texts), np.int64)
             for i, own in enumerate(drop):
-                if own:
-                    out = np.isin(lines.line[marks[i] : marks[i + 1]], own) & (lines.count[marks[i] : marks[i + 1]] >= SHORTEST)
-                    gone[i] = out.sum()
-                    texts[i] = "\n".join(t for t, x in zip(texts[i].split("\n"), out.tolist(), strict=True) if not x)
                 if texts[i] is None:
                     n[i] = 0
+                elif own is not None and len(own):
+                    part = slice(marks[i], marks[i + 1])
+                    hit = listed_here[part] if own is known else np.isin(lines.line[part], own)
+                    out = hit & (lines.count[part] >= SHORTEST)
+                    gone[i] = out.sum()
+                    if gone[i]:
+                        texts[i] = "\n".join(t for t, x in zip(texts[i].split("\n"), out.tolist(), strict=True) if not x)
             arrays = [pa.array(texts, pa.string()) if c == text_col else batch.column(f"c{i}") for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n), pa.array(gone)], [f"c{i}" for i in range(len(names) + 2)])
 
