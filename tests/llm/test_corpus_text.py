@@ -285,7 +285,9 @@ def test_lines_against_plain_counting(spark):
     for i in range(80):
         body = [" ".join("".join(rng.choice("klmnop") for _ in range(7)) for _ in range(30)) for _ in range(2)]
         docs.append((i, "\n".join([*body, *rng.sample(pool, rng.randint(0, 12)), ""])))
-    out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(table).collect()}
+    assert out == {r["doc_id"]: r["text"] for r in lines.drop_recurring(table, listed=0).collect()}
     gone = plain_exact_lines(docs, lines.SHAPES)
     assert 0 < len(gone) < 60
     for doc_id, text in docs:
