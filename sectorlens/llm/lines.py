@@ -1,4 +1,4 @@
-"""Line dedup by log templates: a fixed-depth tree, templates, and their support across documents.
+"""Line dedup by log templates: a fixed-depth tree, templates, and their support across groups of near copies.
 
 A line's tokens are its runs without blanks; a token with a digit is a variable field. The tree has
 fixed depth: the number of tokens, then the first `DEPTH` tokens (variable fields alike), lead to a
@@ -6,10 +6,11 @@ leaf. Within a leaf, a later token is constant where at least `COMMON` of the le
 have it at that place, else it is a variable field too; what results is the line's template, if at
 least `FIXED` of the later places are constant. Other lines are their own template.
 
-A template recurs if it is found in at least `SHAPES` documents of different shape. The shape is the
-smallest hash of a document's five-word shingles, which copies mostly share: a group of copies is
-not boilerplate, so the shapes must also be at least half of the different texts with the template.
-All lines of recurring templates are dropped; a text's other lines stay in order.
+A template recurs if it is found in at least `SHAPES` groups of near copies, however many texts there
+are: copies count once, so a group of copies is not boilerplate by itself. Groups are the components of
+links between texts whose shingle sets have an estimated Jaccard index of at least `ALIKE`, found by the
+leaders of their smallest shingles. Texts that share less, such as a passage of up to two thirds of each,
+count one by one. All lines of recurring templates are dropped; a text's other lines stay in order.
 
 Only leaves that recur can hold a recurring template, so only their lines are brought together,
 leaves with many distinct lines in blocks of about `BLOCK`, dealt by hash.
@@ -29,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorlens.llm.arrow import runs, text_slices
-from sectorlens.llm.words import _LOWER, mix, span_hashes, word_spans
+from sectorlens.llm.components import components
+from sectorlens.llm.words import mix, shingle_sets, span_hashes, word_spans
 from sectorlens.session import cut
 
 SHORTEST = 3
 DEPTH = 3
-SHAPES = 6
+SHAPES = 6  # groups of near copies from which a template recurs
+ALIKE = 0.5  # estimated Jaccard index from which two texts are near copies
+LEADS = 12  # smallest shingles by which a text meets others
+BINS = 256  # shingles of a signature, the smallest of each bin
 LONG_ENOUGH = 6  # tokens from which a line can be generalised
 COMMON = 0.3
 FIXED = 0.7
@@ -65,9 +70,8 @@ class Lines:
         is_last[last] = True
         self.ends[last] = bounds[1:]
         self.ends[~is_last] = breaks
-        starts, ends, self.first_word = word_spans(data, bounds)
+        starts, ends, _ = word_spans(data, bounds)
         self.tokens = span_hashes(data.astype(np.uint64), starts, ends)
-        self.words = span_hashes(_LOWER[data], starts, ends)
         digits = np.r_[0, np.cumsum(_DIGIT[data])]
         self.tokens[digits[ends] > digits[starts]] = VARIABLE
         self.low = np.searchsorted(starts, self.starts)
@@ -77,19 +81,6 @@ class Lines:
         lead = span_hashes(self.tokens, self.low, np.minimum(self.low + DEPTH, self.high))
         self.leaf = mix(lead + self.count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def shapes(self, otherwise: np.ndarray) -> np.ndarray:
-        """The smallest five-word shingle hash of each text, or the other value where it has none."""
-        n = max(0, len(self.words) - 4)
-        rolled = np.zeros(n, np.uint64)
-        for i in range(5):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + self.words[i : i + n]
-        rolled = mix(rolled)
-        out = otherwise.copy()
-        for i, (low, high) in enumerate(zip(self.first_word[:-1].tolist(), self.first_word[1:].tolist(), strict=True)):
-            if high - low >= 5:
-                out[i] = rolled[low : high - 4].min().view(np.int64)
-        return out
-
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(key, digest, text)``: hashes of the row's id and text and of the text."""
@@ -100,7 +91,7 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_rows(keyed: DataFrame) -> DataFrame:
-    """One row per line: its row's key, digest and shape, its leaf and its hash."""
+    """One row per line: its row's key and digest, its leaf and its hash."""
 
     def rows(batches):
         for batch, data, bounds in text_slices(batches):
@@ -110,23 +101,83 @@ def line_rows(keyed: DataFrame) -> DataFrame:
             text = lines.text[at]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key").take(pa.array(text)), pa.array(digest[text]), pa.array(lines.shapes(digest)[text]),
+                    batch.column("key").take(pa.array(text)), pa.array(digest[text]),
                     pa.array(lines.leaf[at]), pa.array(lines.line[at]), pa.array(lines.count[at].astype(np.int32)),
                 ],
-                ["key", "digest", "shape", "leaf", "line", "tokens"],
+                ["key", "digest", "leaf", "line", "tokens"],
             )
 
-    return keyed.mapInArrow(rows, "key long, digest long, shape long, leaf long, line long, tokens int")
+    return keyed.mapInArrow(rows, "key long, digest long, leaf long, line long, tokens int")
 
 
-def recurring(found: DataFrame, by: list[str]) -> DataFrame:
-    """Add up ``(*by, shape, digest)`` rows: how many shapes and different texts have each."""
-    per_shape = found.select(*by, "shape", "digest").distinct().groupBy(*by, "shape").agg(F.count("*").alias("texts"))
-    return per_shape.groupBy(*by).agg(F.count("*").alias("shapes"), F.sum("texts").alias("texts"))
+def signature(shingles: np.ndarray) -> bytes:
+    """A byte for the smallest shingle of each bin of the hash range, 0 for an empty bin; the shingles are sorted."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (shingles >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]][: len(bins)])
+    out[bins[first]] = 1 + shingles[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures (a row each) are of near copies."""
+    common = ((left == right) & (left > 0)).sum(1)
+    return common >= ALIKE * np.maximum(1, ((left > 0) | (right > 0)).sum(1))
+
+
+def signatures(keyed: DataFrame) -> DataFrame:
+    """``(digest, low, signature)`` of each different text."""
+
+    def rows(batches):
+        for batch, data, bounds in text_slices(batches):
+            sets = shingle_sets(data, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("digest"), pa.array([x[:LEADS].view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([signature(x) for x in sets], pa.binary()),
+                ],
+                ["digest", "low", "signature"],
+            )
+
+    return keyed.mapInArrow(rows, "digest long, low array<long>, signature binary").dropDuplicates(["digest"])
+
+
+def copy_groups(keyed: DataFrame) -> DataFrame:
+    """``(digest, copies)``: the group of each text that is a near copy of another.
+
+    A text is compared with two leaders of each of its smallest shingles, which differ by shingle.
+    """
+    signed = cut(signatures(keyed.where("text is not null")))
+    met = signed.select("digest", F.explode("low").alias("shingle")).withColumn("h", F.xxhash64("digest", "shingle"))
+    leaders = met.groupBy("shingle").agg(
+        F.min_by("digest", "h").alias("first"), F.max_by("digest", "h").alias("last")
+    ).where("first <> last")
+    paired = met.join(leaders, "shingle").select("digest", F.explode(F.array("first", "last")).alias("lead"))
+    pairs = paired.where("digest <> lead").select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(signed.select(F.col("digest").alias(c), F.col("signature").alias(f"signature_{c}")), c)
+
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sides = [
+                    np.frombuffer(b"".join(batch.column(f"signature_{c}").to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b")
+                ]
+                yield batch.select(["a", "b"]).filter(pa.array(alike(*sides)))
+
+    links = pairs.mapInArrow(rows, "a long, b long")
+    return components(links).select(F.col("node").alias("digest"), F.col("component").alias("copies"))
 
 
-def recurs(shapes: int):
-    return (F.col("shapes") >= shapes) & (2 * F.col("shapes") >= F.col("texts"))
+def per_text(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(leaf, line, tokens, copies)``: the different lines of each text with its group, itself if it has no near copy."""
+    each = found.select("digest", "leaf", "line", "tokens").distinct().join(groups, "digest", "left")
+    return each.select("leaf", "line", "tokens", F.coalesce("copies", "digest").alias("copies")).distinct()
+
+
+def recurring(found: DataFrame, by: list[str]) -> DataFrame:
+    """Add up ``(*by, copies)`` rows: how many groups of near copies have each."""
+    return found.select(*by, "copies").distinct().groupBy(*by).agg(F.count("*").alias("shapes"))
 
 
 def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -198,8 +249,9 @@ def templates_of(lines: DataFrame) -> DataFrame:
 
 def recurring_lines(found: DataFrame, keyed: DataFrame, shapes: int = SHAPES) -> DataFrame:
     """``(line)``: the hashes of all lines whose template recurs."""
+    found = cut(per_text(found, cut(copy_groups(keyed))))
     each = cut(recurring(found, ["leaf", "line"]))
-    alone = each.where(recurs(shapes)).select("line")
+    alone = each.where(F.col("shapes") >= shapes).select("line")
     lines_in = each.groupBy("leaf").agg(F.count("*").alias("lines"))
     leaves = cut(
         recurring(found.where(F.col("tokens") >= LONG_ENOUGH), ["leaf"]).where(F.col("shapes") >= shapes)
@@ -208,7 +260,7 @@ def recurring_lines(found: DataFrame, keyed: DataFrame, shapes: int = SHAPES) ->
     tokens = token_rows(keyed, leaf_bitmap(leaves)).dropDuplicates(["leaf", "line"]).join(leaves, "leaf")
     assigned = cut(templates_of(tokens.select("leaf", F.pmod("line", "blocks").alias("block"), "line", "tokens")))
     support = recurring(found.join(assigned, "line"), ["template"])
-    general = assigned.join(support.where(recurs(shapes)), "template").select("line")
+    general = assigned.join(support.where(F.col("shapes") >= shapes), "template").select("line")
     return alone.union(general).distinct()
 
 

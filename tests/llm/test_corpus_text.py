@@ -311,3 +311,24 @@ def test_queries_need_no_other_package():
             if name.endswith(".py") and f"{os.sep}llm" not in folder:
                 assert "sectorlens.llm" not in open(path).read(), path
     assert json.loads("[]") == []
+
+
+def unlike(rng, words):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(words))
+
+
+def test_lines_of_long_passages_and_of_copies_are_dropped(spark):
+    rng = random.Random(6)
+    passage = [unlike(rng, 15) for _ in range(4)]
+    docs = [(i, "\n".join([*passage, unlike(rng, 40)])) for i in range(60)]  # 60 % passage
+    common, base = "Printed with the kind permission of nobody", [unlike(rng, 14) for _ in range(12)]
+    docs += [(100 + i, "\n".join([common, unlike(rng, 60)])) for i in range(20)]
+    for i in range(100):  # near copies that differ, with the line of the others
+        changed = base[:]
+        changed[i % 12] = unlike(rng, 14)
+        docs.append((200 + i, "\n".join([common, *changed])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(table).collect()}
+    for doc_id, text in docs:
+        parts = text.split("\n")
+        assert out[doc_id] == "\n".join(parts[4:] if doc_id < 100 else parts[1:]), doc_id
