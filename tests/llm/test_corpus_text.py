@@ -332,3 +332,20 @@ def test_lines_of_long_passages_and_of_copies_are_dropped(spark):
     for doc_id, text in docs:
         parts = text.split("\n")
         assert out[doc_id] == "\n".join(parts[4:] if doc_id < 100 else parts[1:]), doc_id
+
+
+def test_several_templates_share_a_leaf(spark):
+    rng = random.Random(8)
+    later = [unlike(rng, 10).split() for _ in range(4)]
+    docs = []
+    for i in range(96):  # four templates and as many unrelated lines of the same leaf
+        words = later[i % 4][:]
+        for place in (2, 5, 9):
+            words[place] = unlike(rng, 1)
+        docs.append((i, "\n".join([unlike(rng, 40), f"{i} {i + 1} {i + 2} " + " ".join(words), f"7 8 {i} {unlike(rng, 10)}"])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for block in (lines.BLOCK, 10):
+        out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(table, block=block).collect()}
+        for doc_id, text in docs:
+            parts = text.split("\n")
+            assert out[doc_id] == "\n".join([parts[0], parts[2]]), (block, doc_id)
