@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mark_names(corpus: DataFrame, names: DataFrame, longest: int = 5) -> DataFrame:
+def mark_names(corpus: DataFrame, names: DataFrame) -> DataFrame:
     """(org_id, tokens): every name in the tokens replaced by its kind.
 
     ``names`` is (tokens, kind), the names tokenised like the corpus; of a name with several kinds
     the first counts. Of names that overlap the first in the text wins, of those that start
-    together the longest; names of more than ``longest`` tokens are not searched.
+    together the longest. Names of any length are searched, by the widths that occur among them.
     """
     known = (
-        names.where(F.size("tokens").between(1, longest))
+        names.where(F.size("tokens") > 0)
         .groupBy(F.array_join("tokens", " ").alias("name")).agg(F.min("kind").alias("kind"))
     )
-    spans = corpus.where(F.size("tokens") > 0).select(
-        "org_id", "tokens", F.explode(F.sequence(F.lit(1), F.least(F.size("tokens"), F.lit(longest)))).alias("width")
+    widths = names.where(F.size("tokens") > 0).agg(F.collect_set(F.size("tokens")).alias("widths"))
+    spans = corpus.crossJoin(F.broadcast(widths)).select(
+        "org_id", "tokens", F.explode(F.filter("widths", lambda w: w <= F.size("tokens"))).alias("width")
     ).select(
         "org_id", "width",
         F.posexplode(F.transform(

@@ -143,6 +143,17 @@ def test_gazetteer_names(spark):
     assert got[4] == ["GPE", "limit", "GPE"] and got[5] == ["stag", "inn", "GPE"]
 
 
+def test_long_gazetteer_names(spark):
+    df = spark.createDataFrame(
+        [(1, "grants from royal steel harbour bridge engine makers guild london"), (2, "royal steel")], "org_id int, description string"
+    )
+    names = spark.createDataFrame(
+        [("Royal Steel Harbour Bridge Engine Makers Guild", "ORG"), ("royal steel", "GPE"), ("London", "LOC")], "name string, kind string"
+    )
+    got = {r.org_id: r.tokens for r in tokenized(df, gazetteer=names).collect()}
+    assert got == {1: ["grant", "ORG", "LOC"], 2: ["GPE"]}
+
+
 def test_only_matched_descriptions_are_tokenised(spark):
     df = spark.createDataFrame([(i, "steel pipes") for i in range(12)], "org_id int, description string")
     matched = spark.createDataFrame([(i,) for i in range(11)], "org_id int")
