@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlens.llm import bpe, fingerprints, jaccard, language, lines, neardup, packing, quality, secrets, urls
+from sectorlens.llm import bpe, fingerprints, jaccard, language, lines, neardup, packing, quality, search, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,30 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES["op10_quality"] = op10
+
+
+SEARCH_SQL = f"""with tokens as (
+      select doc_id, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{search.TERM}')) as term from documents),
+    counts as (select doc_id, term, count(*) as tf from tokens group by all),
+    lengths as (select doc_id, sum(tf)::bigint as n from counts group by all),
+    totals as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+    asked as (
+      select item_id, term, count(*) as times
+      from (select item_id, unnest(regexp_extract_all(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '{search.TERM}')) as term from benchmark)
+      group by all),
+    weights as (
+      select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+      from counts, totals group by term),
+    scores as (
+      select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint as score
+      from asked join counts using (term) join weights using (term) join lengths using (doc_id), totals group by all)
+    select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+    from scores where score > 0 qualify rank <= {search.BEST}"""
+
+
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    documents, items = (spark.read.parquet(f"{directory}/{t}.parquet") for t in ("documents", "benchmark"))
+    return search.search(documents, items)
+
+
+QUERIES["op11_ranked_search"], ORACLES["op11_ranked_search"] = op11, SEARCH_SQL

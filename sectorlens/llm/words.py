@@ -57,14 +57,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return hashes_between(running_sums(values), starts, ends)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs without blanks, and the first word of each text (n + 1 places).
 
-    Blanks are U+0020 and U+0009 to U+000D; a word never crosses a text's end.
+    Blanks are the bytes that ``between`` marks, U+0020 and U+0009 to U+000D if not given; a word
+    never crosses a text's end.
     """
     n = len(data)
     blank = np.ones(n + 2, bool)
-    blank[1:-1] = _SPACE[data]
+    blank[1:-1] = between[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     inside = ~blank[1:-1]
@@ -73,9 +76,9 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words with A-Z lower-cased, and the first word of each text."""
-    starts, ends, first = word_spans(data, bounds)
+    starts, ends, first = word_spans(data, bounds, between)
     return span_hashes(_LOWER[data], starts, ends), first
 
 
