@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorlens.llm import bpe, fingerprints, jaccard, language, lines, neardup, packing, quality, search, secrets, urls
+from sectorlens.llm import bpe, fingerprints, jaccard, language, lines, neardup, packing, quality, repair, rules, search, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,130 @@ def op11(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES["op11_ranked_search"], ORACLES["op11_ranked_search"] = op11, SEARCH_SQL
+
+
+RULES_SQL = f"""with texts as (
+      select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    windows as (
+      select doc_id, i, array_to_string(w[i:i + {rules.WINDOW - 1}], ' ') as g
+      from (select doc_id, w, unnest(range(1, len(w) - {rules.WINDOW - 2})) as i from texts)),
+    twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+    repeated as (
+      select doc_id, count(distinct i + j)::bigint as n_repeat_words
+      from twice, (select unnest(range({rules.WINDOW})) as j) group by doc_id),
+    each as (
+      select doc_id, source, text, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw
+      from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from texts)),
+    worded as (
+      select *, translate(array_to_string(lw, ' '), '{urls.UPPER}', '{urls.LOWER}') as normal from each where len(lw) > 0),
+    dups as (select doc_id, (count(*) - count(distinct line))::bigint as n_dup_lines from worded group by doc_id),
+    frequent as (select source, normal from worded group by all having count(distinct text) > {rules.LINE_LIMIT}),
+    gone as (
+      select doc_id, sum(len(lw))::bigint as n from worded w join frequent f on f.source is not distinct from w.source and f.normal = w.normal
+      group by doc_id),
+    judged as (
+      select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(w)::bigint - coalesce(gone.n, 0) as n_words_left
+      from texts left join dups using (doc_id) left join repeated using (doc_id) left join gone using (doc_id))
+    select *, n_words < {rules.LEAST_WORDS} or 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words as base_failed,
+      not (n_words < {rules.LEAST_WORDS} or 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words)
+        and n_words_left >= {rules.LEAST_WORDS} and 100 * n_words_left >= {rules.LEAST_LEFT} * n_words as kept
+    from judged"""
+
+
+@query("op13_quality_rules", "documents", RULES_SQL)
+def op13(documents: DataFrame) -> DataFrame:
+    return rules.quality_rules(documents)
+
+
+# Repair by exact recursion over a conversation's rows: the best (cost, audit) of each role before a row.
+UNREACHED = "{'c': 1000000, 'a': ''}"
+STATE = ("n", "s", "u", "a")  # nothing yet, or the last role
+
+
+def _best_sql(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _step_sql(state: str, cost: str, edit: str) -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}')"
+
+
+def _inserted_sql(source: str) -> str:
+    """The states after at most one more insertion each."""
+    into = {"u": ("n", "s", "a"), "a": ("u",)}
+    return ", ".join(
+        f"{_best_sql(q, *[_step_sql(p, '2', 'I') for p in into.get(q, ())])} as {q}" for q in STATE
+    ).join(("select conv, i, ", f" from {source}"))
+
+
+def _row_sql() -> str:
+    """The states after a row: deleted, or, where it may stay, kept or with another role."""
+    stays, late = "r.fault not in ('blank', 'duplicate')", "(r.fault = 'truncated')::int"
+    keeps = {"s": ("n",), "u": ("n", "s", "a"), "a": ("u",)}
+    cells = []
+    for q in STATE:
+        options = [_step_sql(f"m.{q}", "3", "D")]
+        for p in keeps.get(q, ()):
+            kept = f"case when {stays} and r.letter = '{q}' then {_step_sql('m.' + p, late, 'K')} else {UNREACHED} end"
+            changed = f"case when {stays} then {_step_sql('m.' + p, '2 + ' + late, 'R')} else {UNREACHED} end"
+            options += [kept] if q == "s" else [kept, changed]
+        cells.append(f"{_best_sql(*options)} as {q}")
+    return f"select m.conv, m.i + 1 as i, {', '.join(cells)} from m join faults r on r.conv = m.conv and r.i = m.i + 1"
+
+
+REPAIR_SQL = f"""with recursive bits as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, range(8)),
+        lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as crc),
+    named as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as place from conversations),
+    coded as (
+      select named.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(place) + 1), lambda j: ascii(substr(place, j, 1))::bigint)),
+        lambda x, b: xor(x // 256, crc[xor(x % 256, b) + 1])), 4294967295) % 20 as code
+      from named, bits),
+    damaged as (
+      select conv_id, coalesce(conv_id::varchar, 'null') as conv, turn, case when code = 4 then 'user' else coalesce(role, ' ') end as role,
+        case when code = 1 then '' when code = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text,
+        unnest(range(case when code = 3 then 2 else 1 end)) as copy
+      from coded where code <> 0),
+    numbered as (
+      select *, row_number() over (partition by conv order by turn nulls first, role, md5(md5(role) || text), copy) as i,
+        row_number() over (partition by conv, role, text order by turn nulls first, copy) as nth from damaged),
+    faults as (
+      select *, left(role, 1) as letter, lead(left(role, 1)) over (partition by conv order by i) as following,
+        case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank' when nth > 1 then 'duplicate'
+          when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else 'none' end as fault
+      from numbered),
+    m(conv, i, n, s, u, a) as (
+      select conv, 0::bigint, struct_pack(c := 0, a := ''), struct_pack(c := 1000000, a := ''), struct_pack(c := 2, a := 'I'), struct_pack(c := 4, a := 'II')
+      from (select distinct conv from faults)
+      union all select conv, i, n, s, u, a from ({_inserted_sql(f"({_inserted_sql(f'({_row_sql()})')})")})),
+    last as (select conv, max(i) as i from m group by conv),
+    chosen as (select conv, {_best_sql("n", "a")} as best from m join last using (conv, i)),
+    edits as (
+      select conv, best.a as audit, j, substr(best.a, j, 1) as e, len(regexp_replace(substr(best.a, 1, j), 'I', '', 'g')) as i,
+        sum((substr(best.a, j, 1) <> 'D')::int) over (partition by conv order by j) as place
+      from (select *, unnest(range(1, length(best.a) + 1)) as j from chosen)),
+    placed as (
+      select e.*, f.role, f.text, first_value(e.e = 'K' and f.letter = 's') over (partition by e.conv, e.e = 'D' order by j) as led
+      from edits e left join faults f on f.conv = e.conv and f.i = e.i),
+    repaired as (
+      select conv, string_agg(
+          case when e = 'K' then role || ':' || text
+            else case when (place - led::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when e = 'I' then '' else text end end,
+          chr(10) order by j) as body
+      from placed where e <> 'D' group by conv),
+    counted as (
+      select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (letter || following not in ('su', 'ua', 'au')) as illegal
+      from faults group by conv)
+    select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+      coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0)::bigint as cost,
+      coalesce(best.a, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+    from (select distinct conv_id, coalesce(conv_id::varchar, 'null') as conv from conversations) o
+    left join counted using (conv) left join chosen using (conv) left join repaired using (conv)"""
+
+
+@query("op12_conversation_repair", "conversations", REPAIR_SQL)
+def op12(conversations: DataFrame) -> DataFrame:
+    return repair.repair_damaged(conversations)
