@@ -444,9 +444,9 @@ def damage(conversations: DataFrame) -> DataFrame:
     ).drop("_")
 
 
-def repair_damaged(conversations: DataFrame) -> DataFrame:
+def repair_damaged(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     """Every conversation's digest columns after damage and repair; one without rows has zeros and empty texts."""
-    found = digests(repair(damage(conversations)))
+    found = digests(repair(damage(conversations), piece))
     every = conversations.select(F.col("conv_id").alias("_id")).distinct()
     joined = every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
     nothing = hashlib.sha256(b"").hexdigest()
