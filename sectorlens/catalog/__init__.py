@@ -1,6 +1,7 @@
 """All registered queries; importing this package registers them."""
 
 from sectorlens.catalog import (  # noqa: F401
+    levels,
     names,
     official,
     records,

@@ -191,6 +191,36 @@ def t8(t):
     return r.reassign(neighbours(t), labels(t), MIN_SIM, n_iter=3, epsilon=0.0)[0]
 
 
+# The default stop rule: a parameter keeps the pass that moves less than a twentieth, or the last of twenty.
+
+STOP, PASSES = 0.05, 20
+LABELS = ["labels", *[f"pass_{i}" for i in range(1, PASSES + 1)]]
+STOPPED = ",\n".join(
+    [
+        NEAR,
+        *[pass_sql(before, after) for before, after in zip(LABELS, LABELS[1:])],
+        "shifts as ("
+        + " union all ".join(
+            f"select param, {i} as step, avg((a.label <> b.label)::int) as shift from {before} a join {after} b using (param, org_id) group by param"
+            for i, (before, after) in enumerate(zip(LABELS, LABELS[1:]), 1)
+        )
+        + ")",
+        f"stops as (select param, min(step) as step from shifts where shift < {STOP} or step = {PASSES} group by param)",
+        *[
+            f"three{suffix} as ("
+            + " union all ".join(f"select p.* from {name}{suffix} p join stops using (param) where step = {i}" for i, name in enumerate(LABELS[1:], 1))
+            + ")"
+            for suffix in ("", "_m")
+        ],
+    ]
+)
+
+
+@query("t8_reassign_until_settled", f"with {STOPPED} select param, org_id, label from three")
+def t8_settled(t):
+    return r.reassign(neighbours(t), labels(t), MIN_SIM, n_iter=PASSES, epsilon=STOP)[0]
+
+
 @query(
     "a11_changed_fraction",
     f"""with {NEAR}, {pass_sql('labels', 'one')}
@@ -291,6 +321,11 @@ def reassigned(t: Tables) -> tuple[DataFrame, DataFrame]:
     return reassign_orgs(clusters(t), vectors(t), K, MIN_SIM, n_iter=3, epsilon=0.0)
 
 
+@query("t10_reassign_until_settled", f"with {ALL.replace(THREE, STOPPED)} select * from result")
+def t10_settled(t):
+    return shown_records(reassign_orgs(clusters(t), vectors(t), K, MIN_SIM, n_iter=PASSES, epsilon=STOP)[0])
+
+
 @query("t10_reassign_orgs", f"with {ALL} select * from result")
 def t10(t):
     return shown_records(reassigned(t)[0])
