@@ -42,6 +42,7 @@ UNKNOWN = 1e-9
 SMOOTH = 0.05
 ROUNDS = 3
 UNDECIDED = "und"
+AT_ONCE = 8192  # words in a lattice, whose size bounds a task's memory
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -185,8 +186,9 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> tuple
                 frame = whole.to_pandas()
                 for lang, part in frame.groupby("lang"):
                     column = current[:, place[lang]]
-                    lattice = Lattice(part["word"].tolist(), path)
-                    total[:, place[lang]] += lattice.expected(column, part["n"].to_numpy(np.float64))
+                    for low in range(0, len(part), AT_ONCE):
+                        some = part.iloc[low : low + AT_ONCE]
+                        total[:, place[lang]] += Lattice(some["word"].tolist(), path).expected(column, some["n"].to_numpy(np.float64))
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
@@ -218,7 +220,8 @@ class WordLogs:
             self.clear()
         new = [w for w in unique if w not in self.place]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.logs = np.concatenate([self.logs, Lattice(new, self.path).log_probability(self.table)])
+        parts = [Lattice(new[low : low + AT_ONCE], self.path).log_probability(self.table) for low in range(0, len(new), AT_ONCE)]
+        self.logs = np.concatenate([self.logs, *parts])
 
 
 def identify(
