@@ -1,11 +1,13 @@
 """All registered queries; importing this package registers them."""
 
 from sectorlens.catalog import (  # noqa: F401
+    entities,
     levels,
     names,
     official,
     records,
     sectors,
+    subwords,
     text,
     vectors,
 )

@@ -14,6 +14,7 @@ from sectorlens.functions.text import token_count
 from sectorlens.operators.knn import knn_join
 from sectorlens.operators.lengths import cumulative_histogram, percentile_rank
 from sectorlens.operators.sampling import first_rows, sample_exact
+from sectorlens.operators.subwords import subword_counts
 from sectorlens.session import cut
 
 
@@ -84,6 +85,16 @@ def length_report(
     return percentile_rank(lengths, "length", max_length), cumulative_histogram(lengths, "length")
 
 
+def subword_report(
+    descriptions: DataFrame, pieces: DataFrame, max_length: int, n_samples: int | None = 100_000, nrows: int | None = None, seed: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """As :func:`length_report`, counting the sub-words of a vocabulary (piece) and the special tokens."""
+    sample = descriptions if n_samples is None else sample_exact(descriptions, n_samples, "org_id", seed)
+    counted = subword_counts(first_rows(sample, ["org_id"], nrows), pieces)
+    lengths = cut(counted.select(F.col("n_tokens").cast("int").alias("length")))
+    return percentile_rank(lengths, "length", max_length), cumulative_histogram(lengths, "length")
+
+
 def sample_neighbours(
     embedded: DataFrame, n_samples: int = 100, nrows: int | None = None, normalise: bool = False, seed: int = 100
 ) -> DataFrame:
