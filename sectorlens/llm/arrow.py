@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,14 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Spark reuses a worker for later stages, which need their own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(
     batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -31,6 +40,7 @@ def text_slices(
             high = max(low + 1, int(np.searchsorted(ends, ends[low] + limit, "right")) - 1)
             yield batch.slice(low, high - low), data[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
             low = high
+    release()
 
 
 def binaries(parts: list[np.ndarray]) -> pa.Array:
@@ -64,3 +74,5 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             held.append(batch.slice(low, high - low))
     if held:
         yield current, pa.Table.from_batches(held)
+        held = []
+    release()
