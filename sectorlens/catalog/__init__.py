@@ -2,6 +2,7 @@
 
 from sectorlens.catalog import (  # noqa: F401
     entities,
+    lemmas,
     levels,
     names,
     official,
