@@ -399,6 +399,12 @@ def t5(t):
     return placed.select("org_id", "place", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
 
 
+@query("t5_learned_embedding")
+def t5_learned(t):
+    placed = em.learned_embedding(corpus(t), DIM, SEED).select("org_id", F.posexplode("embedding").alias("place", "v"))
+    return placed.select("org_id", "place", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
+
+
 LENGTHS = f"lengths as (select len(regexp_extract_all(text, '{x.LENGTH_PATTERN}'))::int as length from documents)"
 
 

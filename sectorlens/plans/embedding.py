@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectorlens.functions.text import token_count
+from sectorlens.operators.factors import decompose
 from sectorlens.operators.knn import knn_join
 from sectorlens.operators.lengths import cumulative_histogram, percentile_rank
 from sectorlens.operators.sampling import first_rows, sample_exact
@@ -65,6 +66,27 @@ def embed_tokens(corpus: DataFrame, dim: int = 64, hashes: int = 4, seed: int =
     return corpus.select("org_id").join(cells, "org_id", "left").select("org_id", vector.alias("embedding"))
 
 
+def learned_embedding(corpus: DataFrame, dim: int = 64, seed: int = 100) -> DataFrame:
+    """(org_id, embedding): the strongest ``dim`` directions of the TF-IDF table, weighted and scaled to length 1.
+
+    A corpus with fewer directions has zeros behind them, a document without tokens the zero vector.
+    """
+    documents = corpus.agg(F.count("*").alias("n_docs"))  # a single row
+    counts = cut(corpus.select("org_id", F.explode("tokens").alias("token")).groupBy("org_id", "token").agg(F.count("*").alias("tf")))
+    frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
+    idf = frequency.join(F.broadcast(documents)).select("token", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    cells = cut(counts.join(idf, "token").select("org_id", "token", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
+    norms = cells.groupBy("org_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scaled = cells.join(norms, "org_id").select(F.col("org_id").alias("row"), F.col("token").alias("col"), (F.col("w") / F.col("norm")).alias("value"))
+    rows, weights, _ = decompose(scaled, dim, seed=seed)
+    strong = F.array(*[F.lit(float(w)) for w in weights]) if len(weights) else F.array().cast("array<double>")
+    vector = F.zip_with("vector", strong, lambda v, w: v * w)
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, v: total + v * v))
+    unit = F.transform(vector, lambda v: F.coalesce(F.try_divide(v, length), F.lit(0.0)).cast("float"))
+    filled = F.slice(F.concat(F.coalesce(unit, F.array().cast("array<float>")), F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim)
+    return corpus.select("org_id").join(rows.withColumnRenamed("row", "org_id"), "org_id", "left").select("org_id", filled.alias("embedding"))
+
+
 def embed_with_model(
     descriptions: DataFrame,
     make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
