@@ -10,6 +10,7 @@ from sectorlens.catalog.text import CORPUS, corpus, described
 from sectorlens.functions import text as x
 from sectorlens.operators import cocluster as cc
 from sectorlens.operators import corpus as c
+from sectorlens.operators import export
 from sectorlens.operators import graph as g
 from sectorlens.plans.descriptions import tokenized
 from sectorlens.session import cut, scratch_path
@@ -326,6 +327,29 @@ def s11_clusters(t):
     return t.spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
 
 
+def read_back(t: Tables, path: str, rows: str, label: str, groups: range, kind: str) -> DataFrame:
+    """A written table by its known columns."""
+    found = t.spark.read.option("header", True).option("sep", "\t").csv(path)
+    names = [f"{label} {i + 1}" for i in groups]
+    first, second = rows.split(", ")
+    return found.select(first, F.col(second).cast("long"), *[F.col(f"`{n}`").cast(kind) if n in found.columns else F.lit(None).cast(kind).alias(n) for n in names])
+
+
+@query("s11_exported_clusters", f"with {TOPICS} {wide_sql('ranked_docs', 'sector, rank', 'doc_group', 'Cluster', 'doc_id', range(20))}")
+def s11_exported_clusters(t):
+    path = scratch_path(t.spark, "wide-clusters")
+    export.export_clusters(g.doc_membership(edges(t), doc_groups(t)), path, sep="\t")
+    return read_back(t, path, "sector, rank", "Cluster", range(20), "long")
+
+
+@query("s11_exported_topics", f"with {TOPICS} {wide_sql('ranked_words', 'sector, rank', 'word_group', 'Topic', 'word', range(1, 10))}")
+def s11_exported_topics(t):
+    path = scratch_path(t.spark, "wide-topics")
+    e = edges(t)
+    export.export_topics(g.topic_words(e, word_groups(e)), path, sep="\t")
+    return read_back(t, path, "sector, rank", "Topic", range(1, 10), "string")
+
+
 @query("s12_saved_graph", f"with {EDGES} select sector, doc_id, word, cnt from edges")
 def s12(t):
     path = scratch_path(t.spark, "graph")
