@@ -2,6 +2,7 @@
 
 from sectorlens.catalog import (  # noqa: F401
     entities,
+    legal,
     lemmas,
     levels,
     names,
