@@ -9,7 +9,7 @@ from sectorlens.catalog.registry import Tables, query
 from sectorlens.functions.dates import day_first_date
 from sectorlens.operators import matching, records
 from sectorlens.operators.ranking import latest_per_key
-from sectorlens.sources import snapshots, store
+from sectorlens.sources import publish, snapshots, store
 from sectorlens.session import scratch_path
 
 # Line items stand in for dated link rows and for scored name pairs.
@@ -358,3 +358,25 @@ def s7(t):
     return snapshots.read_pinned(t.spark, path, known, "links", 3).select(
         "org_id", "l_partkey", F.col("run_id").cast("long").alias("run_id")
     )
+
+
+# Runs published as a whole, one of them on another branch.
+
+
+def published(t: Tables) -> str:
+    root = scratch_path(t.spark, "runs")
+    names = t.customer.select(F.col("c_custkey").alias("x"), F.col("c_name").alias("name"))
+    for run, branch in ((1, "prod"), (2, "prod"), (3, "test")):
+        tables = {"names": names.withColumn("run", F.lit(run)), "sizes": names.groupBy().agg(F.count("*").alias("n"))}
+        publish.publish(t.spark, root, "match", run, tables, branch)
+    return root
+
+
+@query("s5_published_latest", "select c_custkey as x, c_name as name, 2 as run from customer")
+def s5_published_latest(t):
+    return publish.read_published(t.spark, published(t), "match", "names")
+
+
+@query("s7_published_pinned", "select c_custkey as x, c_name as name, 1 as run from customer")
+def s7_published_pinned(t):
+    return publish.read_published(t.spark, published(t), "match", "names", run_id=1)
