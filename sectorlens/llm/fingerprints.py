@@ -1,11 +1,12 @@
 """I-Match fingerprints with randomised lexicons, in DataFrame functions only.
 
 Terms are lower-cased runs of letters and digits, hashed into `BUCKETS` buckets, so the lexicon has a
-fixed size: one bit per bucket says whether its inverse document frequency over all documents lies
-in the chosen band. A document keeps its distinct terms of the band (all of them if fewer than
-`FEW` remain), sorted, and hashes those that fall into each of several random lexicon subsets: the
-whole lexicon, and for each rate 1/R `LEXICONS` disjoint subsets that hold one term in R. A subset
-without a term gives a blank. Equal texts have equal fingerprints.
+fixed size: four bits per bucket say how far its inverse document frequency over all documents lies
+from the chosen band. A document keeps its distinct terms of the band, and where these are fewer than
+`FEW` the terms nearest to the band up to that number, so one term more or less changes one term. It
+sorts them and hashes those that fall into each of several random lexicon subsets: the whole
+lexicon, and for each rate 1/R `LEXICONS` disjoint subsets that hold one term in R. A subset without a
+term gives a blank. Equal texts have equal fingerprints.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that either text
 has terms in, at the sparsest rate where those are `ENOUGH` (dense subsets rarely agree
@@ -31,42 +32,53 @@ BUCKETS = 1 << 18
 COMMONEST, RAREST = 0.05, 0.0002  # shares of documents between which a term is kept
 IDF_BAND = (math.log(1 / COMMONEST), math.log(1 / RAREST))
 FEW = 8
+STEP, FARTHEST = 0.25, 15
 RATES = (16, 64, 256, 1024)
 ENOUGH = 5  # subsets with terms that a rate needs for its share to count
 LEXICONS = 16
 NO_ID = -(1 << 63)
 
 
-def terms_of(text: Column) -> Column:
+def terms_of(text: str | Column) -> Column:
     """The distinct hashed terms of a text."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
 
 
 def lexicon_of(texts: DataFrame, text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> list[int]:
-    """A bitmap of the buckets in the band, in `BUCKETS` / 64 numbers; the driver gets no more than that."""
+    """Every bucket's distance from the band in steps, 0 inside it, four bits each in `BUCKETS` / 16 numbers.
+
+    The driver gets no more than these numbers; a bucket that no text has is farthest.
+    """
     seen = texts.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").count()
     total = max(texts.count(), 1)
     idf = F.log(F.lit(float(total)) / F.col("count"))
-    kept = seen.where(idf.between(*band))
-    words = kept.groupBy(F.shiftright("term", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(term & 63 as int))")).alias("bits")
+    away = F.greatest(F.lit(band[0]) - idf, idf - F.lit(band[1]), F.lit(0.0))
+    steps = F.least(F.ceil(away / STEP), F.lit(FARTHEST - 1))
+    # The farthest step is all bits set, so the numbers hold what is missing to it.
+    nearer = seen.select("term", (FARTHEST - steps).cast("long").alias("nearer"))
+    words = nearer.groupBy(F.shiftright("term", 4).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(nearer, cast((term & 15) * 4 as int))")).alias("bits")
     )
-    bitmap = [0] * (BUCKETS // 64)
+    packed = [0] * (BUCKETS // 16)
     for row in words.collect():
-        bitmap[row["word"]] = row["bits"]
-    return bitmap
+        packed[row["word"]] = row["bits"]
+    return packed
 
 
-def _kept(terms: str, bitmap: list[int]) -> Column:
-    lexicon = F.lit(bitmap).cast("array<bigint>")
-    in_band = F.filter(
-        terms,
-        lambda t: F.call_function(
-            "shiftright", F.get(lexicon, F.shiftright(t, 6).cast("int")), t.bitwiseAND(F.lit(63)).cast("int")
-        ).bitwiseAND(F.lit(1)) == 1,
-    )
-    return in_band
+def _kept(terms: str, packed: list[int]) -> Column:
+    """The terms in the band, or the `FEW` nearest to it, sorted."""
+    lexicon = F.lit(packed).cast("array<bigint>")
+
+    def placed(t: Column) -> Column:
+        word = F.get(lexicon, F.shiftright(t, 4).cast("int"))
+        nearer = F.call_function("shiftright", word, (t.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(FARTHEST))
+        return F.shiftleft(F.lit(FARTHEST) - nearer, 20).bitwiseOR(t)
+
+    nearest = F.array_sort(F.transform(terms, placed))
+    inside = F.size(F.filter(nearest, lambda c: c < 1 << 20))
+    chosen = F.slice(nearest, 1, F.greatest(inside, F.lit(FEW)))
+    return F.array_sort(F.transform(chosen, lambda c: c.bitwiseAND(F.lit((1 << 20) - 1))))
 
 
 def _drawn(terms: str, rate: int) -> Column:
@@ -79,12 +91,11 @@ def _subset(drawn: str, lexicon: int) -> Column:
     return F.filter(drawn, lambda c: F.shiftright(c, 20) == lexicon)
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out: str, bitmap: list[int]) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, out: str, lexicon: list[int]) -> DataFrame:
     """Add `out`: an array with the hash of each lexicon subset, null where it holds no term."""
     terms, band = f"_{out}_terms", f"_{out}_band"
     df = df.withColumn(terms, terms_of(F.col(text_col)))
-    df = df.withColumn(band, _kept(terms, bitmap))
-    df = df.withColumn(band, F.array_sort(F.when(F.size(band) < FEW, F.col(terms)).otherwise(F.col(band))))
+    df = df.withColumn(band, _kept(terms, lexicon))
     parts = [f"_{out}_{rate}" for rate in RATES]
     df = df.withColumns({part: _drawn(band, rate) for part, rate in zip(parts, RATES, strict=True)})
 
@@ -152,7 +163,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
-    bitmap = lexicon_of(texts, band=band)
+    lexicon = lexicon_of(texts, band=band)
     pairs = cut(next_documents(texts).withColumn("k", F.floor(F.col("n") / 2).cast("int")))
     heads = (
         pairs.select(F.col("key").alias("of"), F.col("h").alias("of_h"), "k", F.col("next_key").alias("key"), F.col("next_h").alias("h"))
@@ -164,7 +175,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
     edited = texts.join(pairs, ["key", "h"]).join(heads, ["key", "h"]).withColumn(
         "edited", F.concat(F.left("text", (F.col("n") - F.col("k")).cast("int")), "head")
     )
-    marked = with_fingerprint(with_fingerprint(edited, "text", "own", bitmap), "edited", "other", bitmap)
+    marked = with_fingerprint(with_fingerprint(edited, "text", "own", lexicon), "edited", "other", lexicon)
     made = cut(
         marked.select("key", "h", "n", "next_key", "next_h", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "own", "other")
     )
