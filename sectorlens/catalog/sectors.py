@@ -132,8 +132,9 @@ def a3(t):
     semi join (select word from cells group by word having count(*) >= 2) using (word)""",
 )
 def a4(t):
-    languages = ["de", "en", "es", "fr"]
-    matrix = edges(t).groupBy("word").pivot("sector", languages).agg(F.sum("cnt")).fillna(0)
+    e = edges(t)
+    languages = [r["sector"] for r in e.select("sector").where("sector is not null").distinct().orderBy("sector").collect()]
+    matrix = e.groupBy("word").pivot("sector", languages).agg(F.sum("cnt")).fillna(0)
     return g.matrix_edges(matrix, "word", languages, "all", n_min=2)
 
 

@@ -129,7 +129,7 @@ def traders(t: Tables):
 
 def gazetteer(t: Tables):
     return t.region.select(F.col("r_name").alias("name"), F.lit("LOC").alias("kind")).union(
-        t.nation.where("n_nationkey % 2 = 0").select(F.split_part("n_name", F.lit("_"), F.lit(1)), F.lit("GPE"))
+        t.nation.select(F.split_part("n_name", F.lit("_"), F.lit(1)), F.lit("GPE"))
     )
 
 
@@ -139,7 +139,7 @@ def gazetteer(t: Tables):
     names as (
       select array_to_string({tokenize_sql('name')}, ' ') as name, min(kind) as kind from (
         select r_name as name, 'LOC' as kind from region
-        union all select split_part(n_name, '_', 1), 'GPE' from nation where n_nationkey % 2 = 0) group by 1),
+        union all select split_part(n_name, '_', 1), 'GPE' from nation) group by 1),
     ordered as (select list({{'n': ' ' || name || ' ', 'k': ' ' || kind || ' '}} order by length(name) desc, name) as all_names from names)
     select org_id, trim(list_reduce(list_transform(all_names, lambda g: ' ' || array_to_string(w, ' ') || ' '), lambda a, b, i:
       replace(a, all_names[i].n, all_names[i].k), ' ' || array_to_string(w, ' ') || ' ')) as tokens from words, ordered""",

@@ -178,13 +178,19 @@ def union_candidates(*candidates: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame, k: int = 3, min_score: float = 50) -> DataFrame:
-    """The three scores of each pair and their mean, 0 to 100; pairs below ``min_score`` go."""
-    scored = with_vectors(pairs, vectors).select(
+    """The three scores of each pair and their mean, 0 to 100; pairs below ``min_score`` go.
+
+    The two scores of the names come first. Only pairs that could still reach the mean with a cosine
+    of 1 meet the vectors.
+    """
+    names = [_side(vectors, side).select(side, f"name_{side}") for side in ("x", "y")]
+    spelled = pairs.join(names[0], "x").join(names[1], "y").select(
         "x", "y",
         jaccard_score(shingles("name_x", k), shingles("name_y", k)).alias("jaccard"),
         levenshtein_score("name_x", "name_y").alias("levenshtein"),
-        (_cosine() * 100).alias("cosine"),
     )
+    near = cut(spelled.where((F.col("jaccard") + F.col("levenshtein") + 100) / 3 >= min_score - 1e-6))
+    scored = with_vectors(near, vectors).select("x", "y", "jaccard", "levenshtein", (_cosine() * 100).alias("cosine"))
     mean = (F.col("jaccard") + F.col("levenshtein") + F.col("cosine")) / 3
     return scored.withColumn("sim_mean", F.round(mean, 6)).where(F.col("sim_mean") >= min_score)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sectorlens.session import cut
+
 
 def latest_per_key(
     df: DataFrame,
@@ -39,26 +41,19 @@ def ranked(
     keys: Sequence[str],
     order: Sequence[Column],
     out: str = "rn",
-    splits: int = 64,
+    slice_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact ``row_number`` by ascending ``order``, with each group spread over many tasks.
 
-    Order keys drawn by hash (at most ``splits``, a fixed number) cut the key range into
-    slices. Rows are numbered inside a slice and shifted by the rows of earlier slices.
+    The rows are dealt by ranges of ``order`` into slices of about ``slice_rows``, so their number
+    follows the table. Rows are numbered inside a slice and shifted by the rows of earlier slices.
     ``order`` must be unique within a group.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    keyed = df.withColumn("_key", key)
-    drawn = (
-        keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(splits)
-        .agg(F.sort_array(F.collect_set("_key")).alias("_cuts"))
-    )
-    # One row of at most `splits` keys, so the broadcast is bounded whatever the input.
-    sliced = (
-        keyed.join(F.broadcast(drawn))
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_key"))))
-        .drop("_cuts")
-    )
+    keyed = cut(df.withColumn("_key", key))
+    slices = max(1, -(-keyed.count() // slice_rows))
+    # Written, so that all uses see the same slices.
+    sliced = cut(keyed.repartitionByRange(slices, "_key").withColumn("_slice", F.spark_partition_id()))
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

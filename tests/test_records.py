@@ -40,7 +40,7 @@ def test_ranked_equals_sorting_with_a_hot_group(spark):
     random.seed(1)
     data = [("hot" if i % 3 else f"g{i % 7}", random.randint(0, 50), i) for i in range(600)]
     df = spark.createDataFrame(data, "g string, v int, id int")
-    got = rows(ranked(df, ["g"], [-F.col("v"), F.col("id")], splits=7), "g", "id", "rn")
+    got = rows(ranked(df, ["g"], [-F.col("v"), F.col("id")], slice_rows=7), "g", "id", "rn")
     want, seen = [], {}
     for g, v, i in sorted(data, key=lambda r: (r[0], -r[1], r[2])):
         seen[g] = seen.get(g, 0) + 1
