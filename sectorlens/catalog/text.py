@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sectorlens.catalog.registry import Tables, query
+from sectorlens.functions import markup as mk
 from sectorlens.functions import text as x
 from sectorlens.operators import phrases
 from sectorlens.plans.descriptions import description_tokens, ngram_tokens, tokenized
@@ -20,6 +21,10 @@ def strip_html_sql(column: str) -> str:
     text = column
     for pattern in x.HTML_PATTERNS:
         text = f"regexp_replace({text}, {quoted(pattern)}, '', 'g')"
+    return decoded_sql(text)
+
+
+def decoded_sql(text: str) -> str:
     names = "[" + ", ".join(quoted(n) for n in x.REFERENCES) + "]"
     characters = "[" + ", ".join(quoted(c) for c in x.REFERENCES.values()) + "]"
     name = f"regexp_extract(p, '{x.NAMED}', 1)"
@@ -63,6 +68,14 @@ def f1(t):
     return t.pages.select("page_id", x.strip_html("html").alias("text"))
 
 
+STRIPPED_MARKUP = f"regexp_replace(html, {quoted(mk.lexer('*'))}, '\\1\\2', 'g')"
+
+
+@query("f1_strip_markup", f"select page_id, {decoded_sql(STRIPPED_MARKUP)} as text from pages")
+def f1_markup(t):
+    return t.pages.select("page_id", mk.strip_markup("html").alias("text"))
+
+
 @query("f3_mark_entities", f"select doc_id, {mark_sql('text')} as text from documents")
 def f3(t):
     return t.documents.select("doc_id", x.mark_entities("text").alias("text"))
