@@ -171,17 +171,15 @@ def cluster_peers(doc_groups: DataFrame, asked: DataFrame) -> DataFrame:
 
 def docs_to_assign(share: int | float | str, corpus_size: Column) -> Column:
     """Documents kept per group: a count as it is, a fraction of the sector, a word for all of it."""
-    limit = LIMIT_OF.get(type(share))
-    if limit is None:
+    if isinstance(share, bool) or not isinstance(share, (int, float, str)):
         raise ValueError(f"{share!r} says no number of documents")
-    return limit(share, corpus_size).cast("long")
-
-
-LIMIT_OF = {
-    int: lambda count, size: F.lit(count),
-    float: lambda fraction, size: F.floor(size * F.lit(fraction)),
-    str: lambda word, size: size,
-}
+    if isinstance(share, int):
+        limit = F.lit(share)
+    elif isinstance(share, float):
+        limit = F.floor(corpus_size * F.lit(share))
+    else:
+        limit = corpus_size
+    return limit.cast("long")
 
 
 DEFAULT_SHARES = (10, 100, 500, 0.5, "all")

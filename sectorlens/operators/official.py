@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the yearly sheets that name an area.
 AREA_COLUMNS = ["itl1_region", "la_code", "la_name"]
 
 

@@ -112,7 +112,7 @@ def neighbour_records(knn: DataFrame, original: DataFrame, assigned: DataFrame)
     return (
         named.groupBy("param", F.col("query_id").alias("org_id"))
         .agg(F.sort_array(F.collect_list(entry)).alias("n"))  # k entries
-        .select(
+        .select(  # fixed values: the columns' names
             "param", "org_id",
             F.col("n.neighbour_id").alias("knn_org_ids"),
             F.col("n.original").alias("knn_original_text_sectors"),
