@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sectorlens.llm.arrow import SLICE_BYTES, runs, text_slices
 from sectorlens.llm.components import components
 from sectorlens.llm.words import shingle_sets
-from sectorlens.session import cut
+from sectorlens.session import bucketed, cut
 
 WORDS = 5
 PERCENT = 80
@@ -349,10 +349,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     ids = owner.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same_id = owner.join(ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     chosen = owner.where("doc_id = rep").select("rep").distinct()
-    # Joined by id and not by digest, so that the texts move once per use.
-    texts = named.select(F.col("doc_id").alias("rep"), "n", "signature", "packed")
-    light = cut(
-        named.select(F.col("doc_id").alias("rep"), "n", "band", "signature", "low").join(chosen, "rep").distinct()
+    # Joined by id and not by digest, and kept in buckets of the id, so that the texts move once.
+    texts = bucketed(named.select(F.col("doc_id").alias("rep"), "n", "signature", "packed").join(chosen, "rep", "left_semi"), "rep")
+    light = bucketed(
+        named.select(F.col("doc_id").alias("rep"), "n", "band", "signature", "low").join(chosen, "rep").distinct(), "rep"
     )
 
     likely = cut(within_bound(leader_pairs(light), light, percent))

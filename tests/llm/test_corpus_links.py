@@ -367,6 +367,7 @@ def test_pipeline_edge_cases(spark):
     ]
     rows += [(10 + i, f"the old garden number w{'abcdefghijkl'[i]} behind the house", "en", "s", 1) for i in range(12)]
     docs = spark.createDataFrame(rows, EDGE_SCHEMA).withColumn("key", F.lit(1)).withColumn("drops", F.lit(None).cast("string"))
+    docs = docs.withColumns({c: F.lit("x") for c in ("score", "lang_pred", "component_id", "_row", "_column0")}).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
     for table in (docs, docs.where("false")):
         out = table
         for _, stage in corpus_pipeline.STAGES[:-1]:
