@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, as a written table."""
+"""The corpus pipeline: each stage reads what its predecessor kept, as a written table.
+
+Every stage takes and, but for the last, returns the columns of its documents, whatever other columns
+these have. Null and empty texts, ties and repeated rows: see each stage.
+"""
 
 from __future__ import annotations
 
@@ -13,34 +17,54 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the labelled documents teach, surer than not."""
+    """Keep documents in a language that the labelled documents teach, surer than not.
+
+    Null and empty texts, and those without a letter, go. Repeated rows are judged alike; of
+    languages with equal probability the first by name counts. Without a labelled document all go.
+    """
     languages, table = language.fit(docs.where(language.training_rows(docs)))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language.identify(docs, languages, table, keep=rest)
-    return judged.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # The documents' columns travel under names of their own, as they may be called like the judgement's.
+    places = [f"_column{i}" for i in range(len(docs.columns))]
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, places, strict=True)])
+    judged = language.identify(named, languages, table, keep=tuple(places))
+    kept = judged.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(p).alias(c) for c, p in zip(docs.columns, places, strict=True)])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines of templates that recur across documents."""
+    """Drop lines of templates that recur across documents; no document goes.
+
+    Null texts stay null, empty ones empty. Repeated rows count once and lose the same lines.
+    """
     return _measured(lines.drop_recurring(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of linked documents, one row of rows that repeat it."""
+    """Keep the smallest doc_id of each group of linked documents, one row of rows that repeat it.
+
+    Null and empty texts link with nothing and stay, as do rows with a null doc_id. Of rows that
+    share a doc_id but differ, all stay or none.
+    """
     groups = cut(jaccard.jaccard_components(docs))
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates()
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    # Compared as text, since columns such as maps have no equality.
+    row = "_" + max(docs.columns, key=len)  # a name that no column has
+    several = kept.join(repeated, "doc_id", "left_semi").withColumn(row, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    once = several.dropDuplicates([row]).drop(row)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts by its kind."""
+    """Replace every secret in the texts by its kind; null and empty texts and repeated rows stay as they are."""
     return _measured(secrets.redact(docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into training sequences."""
+    """Pack the documents' tokens into training sequences.
+
+    A null or empty text is its end token alone; repeated rows are packed each.
+    """
     return packing.pack(docs)
 
 
