@@ -66,8 +66,8 @@ def lexicon_of(texts: DataFrame, text_col: str = "text", band: tuple[float, floa
     return packed
 
 
-def _kept(terms: str, packed: list[int]) -> Column:
-    """The terms in the band, or the `FEW` nearest to it, sorted."""
+def _nearest(terms: str, packed: list[int]) -> Column:
+    """The terms by their distance from the band, each under its distance."""
     lexicon = F.lit(packed).cast("array<bigint>")
 
     def placed(t: Column) -> Column:
@@ -75,10 +75,15 @@ def _kept(terms: str, packed: list[int]) -> Column:
         nearer = F.call_function("shiftright", word, (t.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(FARTHEST))
         return F.shiftleft(F.lit(FARTHEST) - nearer, 20).bitwiseOR(t)
 
-    nearest = F.array_sort(F.transform(terms, placed))
+    # Sorted without a comparator of its own, which would be called for every pair of terms.
+    return F.sort_array(F.transform(terms, placed))
+
+
+def _kept(nearest: str) -> Column:
+    """The terms in the band, or the `FEW` nearest to it, sorted."""
     inside = F.size(F.filter(nearest, lambda c: c < 1 << 20))
     chosen = F.slice(nearest, 1, F.greatest(inside, F.lit(FEW)))
-    return F.array_sort(F.transform(chosen, lambda c: c.bitwiseAND(F.lit((1 << 20) - 1))))
+    return F.sort_array(F.transform(chosen, lambda c: c.bitwiseAND(F.lit((1 << 20) - 1))))
 
 
 def _drawn(terms: str, rate: int) -> Column:
@@ -93,9 +98,10 @@ def _subset(drawn: str, lexicon: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, lexicon: list[int]) -> DataFrame:
     """Add `out`: an array with the hash of each lexicon subset, null where it holds no term."""
-    terms, band = f"_{out}_terms", f"_{out}_band"
+    terms, near, band = (f"_{out}_{name}" for name in ("terms", "near", "band"))
     df = df.withColumn(terms, terms_of(F.col(text_col)))
-    df = df.withColumn(band, _kept(terms, lexicon))
+    df = df.withColumn(near, _nearest(terms, lexicon))
+    df = df.withColumn(band, _kept(near))
     parts = [f"_{out}_{rate}" for rate in RATES]
     df = df.withColumns({part: _drawn(band, rate) for part, rate in zip(parts, RATES, strict=True)})
 
@@ -103,7 +109,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, lexicon: list[int])
         return F.when(F.size(terms_) > 0, F.xxhash64(terms_).bitwiseAND(F.lit(0xFFFFFF)))
 
     subsets = [F.col(band)] + [_subset(part, k) for part in parts for k in range(LEXICONS)]
-    return df.withColumn(out, F.array(*[hashed(s) for s in subsets])).drop(terms, band, *parts)
+    return df.withColumn(out, F.array(*[hashed(s) for s in subsets])).drop(terms, near, band, *parts)
 
 
 def written(fingerprint: str) -> Column:

@@ -105,5 +105,6 @@ def test_one_term_changes_one_term(spark, inside):
     docs = [(0, " ".join(common + rare[:inside])), (1, " ".join(common + rare[: inside + 1])), *filler]
     lexicon = fp.lexicon_of(spark.createDataFrame(docs, "doc_id long, text string"), band=(math.log(5), math.log(100)))
     table = spark.createDataFrame(docs[:2], "doc_id long, text string").select("doc_id", fp.terms_of("text").alias("t"))
-    kept = {r[0]: set(r[1]) for r in table.select("doc_id", fp._kept("t", lexicon)).collect()}
+    near = table.select("doc_id", fp._nearest("t", lexicon).alias("near"))
+    kept = {r[0]: set(r[1]) for r in near.select("doc_id", fp._kept("near")).collect()}
     assert len(kept[0] ^ kept[1]) <= 2 and len(kept[0]) == max(inside, fp.FEW)
