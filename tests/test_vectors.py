@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sectorlens.operators import cocluster as cc
+from sectorlens.operators import knn
 from sectorlens.operators import reassign as r
 from sectorlens.operators.knn import clustered_vectors, knn_join, left_over_vectors
 from sectorlens.plans.embedding import embed_tokens, embed_with_model, sample_neighbours
@@ -39,6 +40,40 @@ def test_knn_join_equals_brute_force(spark, normalise, pivots, block_rows):
     assert {(a.query_id, a.rank, a.neighbour_id) for a in got.collect()} == brute(ids, x, ids, x, 7, normalise, True)
 
 
+@pytest.mark.parametrize("dealt_rows,gathered", [(20, 4 * 2**20), (50, 0)])
+def test_knn_join_in_several_parts(spark, monkeypatch, dealt_rows, gathered):
+    monkeypatch.setattr(knn, "MAX_GATHERED", gathered)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(120, 8)), np.tile(rng.normal(size=8), (60, 1))])
+    df = frame(spark, range(180), x)
+    got = knn_join(df, df, 7, pivots=2, block_rows=16, dealt_rows=dealt_rows)
+    assert {(a.query_id, a.rank, a.neighbour_id) for a in got.collect()} == brute(range(180), x, range(180), x, 7, True, True)
+
+
+@pytest.mark.parametrize("scale,gathered,slice_rows", [(1, 4 * 2**20, 1024), (1, 0, 7), (1e18, 4 * 2**20, 7)])
+def test_nearest_in_blocks_equals_brute_force(monkeypatch, scale, gathered, slice_rows):
+    monkeypatch.setattr(knn, "MAX_GATHERED", gathered)
+    monkeypatch.setattr(knn, "SLICE_ROWS", slice_rows)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 5)).round(2)
+    x[40:60] = x[40]
+    ids = np.arange(90)
+    rows, places, _ = knn._nearest(x[:30] * scale, ids[:30], x * scale, ids, 6, True, 8)
+    sims = np.round(x[:30] * scale @ (x * scale).T, 9)
+    want = {(i, j) for i in range(30) for _, j in sorted((-sims[i, j], j) for j in ids if j != i)[:6]}
+    assert set(zip(rows.tolist(), places.tolist())) == want
+
+
+def test_small_blocks_copy_no_vector(spark, monkeypatch):
+    def sizes(*_):
+        return lambda asked, held: pd.DataFrame({"query_id": [len(asked)], "neighbour_id": [len(held)], "sim": [1.0]})
+
+    monkeypatch.setattr(knn, "_local_top", sizes)
+    df = frame(spark, range(100), np.random.default_rng(8).normal(size=(100, 4)))
+    found = knn_join(df, df, 3, pivots=1, block_rows=10)
+    assert [(a.query_id, a.neighbour_id) for a in found.collect()] == [(100, 100)]
+
+
 def test_knn_with_few_vectors_and_outside_queries(spark):
     index = frame(spark, [1, 2], [[1, 0], [0, 1]])
     asked = frame(spark, [9], [[2, 1]])
