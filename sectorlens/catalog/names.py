@@ -102,11 +102,11 @@ def j11(t):
 UNION_SQL = f"""{lsh_sql()}, {TOP_SQL}, pairs as (select x, y from lsh union select x, y from top)"""
 
 
-def candidates(t: Tables):
+def candidates(t: Tables, min_score: float = 0):
     left, right = sides(t)
     vectors = m.tfidf_vectors(left, right, hot_pairs=HOT_PAIRS)
     return m.union_candidates(
-        m.lsh_candidates(left, right, block=BLOCK), m.cosine_candidates(vectors, K)
+        m.lsh_candidates(left, right, min_score=min_score, block=BLOCK, vectors=vectors), m.cosine_candidates(vectors, K)
     ), vectors
 
 
@@ -126,7 +126,7 @@ scored as (select *, round((jaccard + levenshtein + cosine) / 3, 6) as sim_mean
 
 
 def scores(t: Tables, min_score: float):
-    return m.score_pairs(*candidates(t), min_score=min_score)
+    return m.score_pairs(*candidates(t, min_score), min_score=min_score)
 
 
 for key, column in (("f6_jaccard", "jaccard"), ("f7_levenshtein", "levenshtein"), ("f8_cosine", "cosine")):

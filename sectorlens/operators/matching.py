@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sectorlens.functions.names import clean_name, jaccard_score, levenshtein_score, minhashes, shingles
@@ -63,19 +64,94 @@ def lsh_candidates(
     rows: int = 4,
     min_score: float = 0,
     block: int = 1_000,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """All pairs (x, y) of names that agree on all minhashes of a band.
 
     The x of a bucket are dealt by hash into blocks of about ``block``, and its y visit every
     block, so a form shared by many names is spread over tasks. With ``min_score``, pairs whose
     sizes alone rule that mean score out are left away inside the block; no other pair is lost.
+    With the names' ``vectors`` too, pairs that can't reach the mean score are not met at all
+    (:func:`promising_candidates`).
     """
+    if vectors is not None and least_jaccard(min_score) > 0:
+        return promising_candidates(left, right, vectors, k, bands, rows, min_score, block)
     # Read twice, so the signatures are computed once and kept.
     xs, ys = cut(band_keys(left, "x", bands, rows, k)), cut(band_keys(right, "y", bands, rows, k))
     met = spread_join(xs, ys, ["band", "key"], "x", block)
     return met.where(score_bound() >= min_score - 1e-6).select("x", "y").distinct()
 
 
+def least_jaccard(min_score: float) -> float:
+    """Names without a common word need this Jaccard index for the mean score: their cosine is 0."""
+    return (3 * min_score - 100) / 100 - 1e-6
+
+
+def promising_candidates(
+    left: DataFrame, right: DataFrame, vectors: DataFrame, k: int, bands: int, rows: int, min_score: float, block: int
+) -> DataFrame:
+    """The pairs of :func:`lsh_candidates` whose scores may have the mean ``min_score``.
+
+    Such a pair shares a word or many shingles. Cold words are joined by their posting lists; names
+    with hot words meet in their buckets; the rest is joined by the rarest shingles of each name.
+    """
+
+    def signed(names: DataFrame, side: str) -> DataFrame:
+        grams = shingles("name", k)
+        sizes = [F.length("name").alias(f"length_{side}"), F.size(grams).alias(f"size_{side}")]
+        return cut(names.select(F.col("id").alias(side), *sizes, grams.alias("grams"), minhashes(grams, bands * rows).alias(f"sig_{side}")))
+
+    xs, ys = signed(left, "x"), signed(right, "y")
+    words = vectors.select("side", "id", F.explode("terms").alias("t"))
+
+    def holders(side: str, hot: bool) -> DataFrame:
+        return words.where((F.col("side") == side) & (F.col("t.hot") == hot)).select(F.col("id").alias(side), "t.term")
+
+    cold = holders("x", False).join(holders("y", False), "term").select("x", "y")
+    pairs = cold.unionByName(spelled_alike(xs, ys, least_jaccard(min_score), block)).distinct()
+    met = pairs.join(xs.drop("grams"), "x").join(ys.drop("grams"), "y")
+    agreed = F.exists(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda b: F.slice("sig_x", b * rows + 1, F.lit(rows)) == F.slice("sig_y", b * rows + 1, F.lit(rows)),
+    )
+    near = met.where(agreed & (score_bound() >= min_score - 1e-6)).select("x", "y")
+    common = [
+        names.join(holders(side, True).select(F.col(side).alias("id")), "id", "left_semi")
+        for names, side in ((left, "x"), (right, "y"))
+    ]
+    return near.unionByName(lsh_candidates(*common, k, bands, rows, min_score, block)).distinct()
+
+
+def spelled_alike(xs: DataFrame, ys: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs (x, y) among which are all with a Jaccard index of ``least`` or more of their ``grams``.
+
+    The shingles of a name are ordered by the pairs that they would give, none for those of one side
+    only. Two such names share one of the first ``size - ceil(least * size) + 1`` (prefix filter:
+    Chaudhuri et al. 2006). Names that, by their size and their shingles on both sides, fit no size
+    of the other side are left away before.
+    """
+    each = {side: names.select(side, f"size_{side}", F.explode("grams").alias("gram")) for side, names in (("x", xs), ("y", ys))}
+    counts = [df.groupBy("gram").agg(F.count("*").alias(f"n_{side}")) for side, df in each.items()]
+    frequency = cut(counts[0].join(counts[1], "gram").select("gram", (F.col("n_x") * F.col("n_y")).alias("pairs")))
+
+    def first(side: str) -> DataFrame:
+        name, size = W.partitionBy(side), F.col(f"size_{side}")
+        placed = each[side].join(frequency, "gram", "left").select(
+            side, size, "gram", "pairs",
+            F.count("pairs").over(name).alias(f"open_{side}"),
+            F.row_number().over(name.orderBy(F.asc_nulls_first("pairs"), "gram")).alias("place"),
+        )
+        return cut(placed.where((F.col("place") <= size - F.ceil(size * least) + 1) & F.col("pairs").isNotNull()).drop("place", "pairs"))
+
+    shared = F.least("open_x", "open_y")
+    fits = shared >= least * (F.col("size_x") + F.col("size_y") - shared)
+    firsts = {side: first(side) for side in each}
+    kinds = {side: df.select(f"size_{side}", f"open_{side}").distinct() for side, df in firsts.items()}  # by pairs of lengths
+    fitting = cut(kinds["x"].join(kinds["y"], fits))
+    kept = [df.join(fitting, [f"size_{side}", f"open_{side}"], "left_semi") for side, df in firsts.items()]
+    return spread_join(*kept, ["gram"], "x", block).where(fits).select("x", "y").distinct()
+
+
 # Candidates by top-k cosine of TF-IDF.
 
 

@@ -33,7 +33,7 @@ def match_names(
     left, right = m.distinct_names(m.cleaned(x_rows, "x", clean)), m.distinct_names(y_rows)
     vectors = m.tfidf_vectors(left, right, hot_pairs)
     pairs = m.union_candidates(
-        m.lsh_candidates(left, right, k, bands, rows, min_score), m.cosine_candidates(vectors, top_k)
+        m.lsh_candidates(left, right, k, bands, rows, min_score, vectors=vectors), m.cosine_candidates(vectors, top_k)
     )
     scored = persist_pairs(
         m.score_pairs(pairs, vectors, k, min_score), pairs_path or scratch_path(companies.sparkSession, "pairs")

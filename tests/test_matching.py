@@ -108,6 +108,28 @@ def test_match_names(spark):
     assert got[14][0] == 3 and 13 not in got
 
 
+def test_promising_candidates_lose_no_match(spark):
+    random.seed(11)
+    words = ["alpha", "alphas", "alpho", "beta", "gamma", "gammas", "delta", "common", "trade", "traders"]
+    names = sorted({" ".join(random.sample(words, random.randint(1, 3))) for _ in range(120)})
+    left = spark.createDataFrame(list(enumerate(names[::2])), "id long, name string")
+    right = spark.createDataFrame(list(enumerate(names[1::2] + names[:6:2])), "id long, name string")
+    for hot_pairs in (1, 100_000):
+        vectors = m.tfidf_vectors(left, right, hot_pairs)
+        for min_score in (50, 70):
+            every = m.score_pairs(m.lsh_candidates(left, right), vectors, min_score=min_score)
+            found = m.score_pairs(m.lsh_candidates(left, right, min_score=min_score, vectors=vectors), vectors, min_score=min_score)
+            want = {(r.x, r.y, r.sim_mean) for r in every.collect()}
+            assert want and {(r.x, r.y, r.sim_mean) for r in found.collect()} == want
+
+
+def test_promising_candidates_meet_no_crowd(spark):
+    left = spark.createDataFrame([(i, f"customer {i:09d}") for i in range(60)], "id long, name string")
+    right = spark.createDataFrame([(i, f"supplier {i:09d} 7") for i in range(60)], "id long, name string")
+    found = m.lsh_candidates(left, right, min_score=50, vectors=m.tfidf_vectors(left, right))
+    assert all(r.x == r.y for r in found.collect()) and m.lsh_candidates(left, right, min_score=50).count() > 1000
+
+
 def test_best_match_ties_go_to_the_first(spark):
     pairs = spark.createDataFrame([(5, 1, 90.0), (3, 1, 90.0), (4, 1, 80.0)], "x long, y long, sim_mean double")
     assert [tuple(r) for r in m.best_matches(pairs).collect()] == [(3, 1, 90.0)]
