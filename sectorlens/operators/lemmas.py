@@ -83,7 +83,15 @@ def lemmatise(corpus: DataFrame, lemmas: DataFrame, key: str = "org_id", tokens:
     """``(key, tokens)`` with every token replaced by its lemma; tokens without one stay."""
     each = cut(corpus.select(key, F.posexplode(tokens).alias("_at", "word")).withColumn("_row", F.struct(key, "_at")))
     changed = spread_join(each, lemmas.where("word <> lemma"), ["word"], "_row", HOT)
-    per_row = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "lemma"))).alias("_new"))  # a text's tokens
+    per_row = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "lemma"))).alias("_found"))  # a text's tokens
     joined = corpus.select(key, F.col(tokens).alias("tokens")).join(per_row, key, "left")
-    new = F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("_new", i), t))
-    return joined.select(key, F.when(F.col("_new").isNull(), F.col("tokens")).otherwise(new).alias("tokens"))
+    placed = joined.withColumn("_new", F.filter("_found", lambda n: n["_at"] < F.size("tokens")))
+    # Tokens between two changed ones are copied as slices, so a text costs one pass.
+    pieces = F.expr(
+        "flatten(transform(sequence(0, size(_new)), i -> concat("
+        "  slice(tokens, if(i = 0, 0, _new[i - 1]._at + 1) + 1,"
+        "        if(i = size(_new), size(tokens), _new[i]._at) - if(i = 0, 0, _new[i - 1]._at + 1)),"
+        "  if(i = size(_new), cast(array() as array<string>), array(_new[i].lemma))"
+        ")))"
+    )
+    return placed.select(key, F.when(F.col("_new").isNull(), F.col("tokens")).otherwise(pieces).alias("tokens"))

@@ -42,6 +42,14 @@ def test_verbs_and_plurals_fall_together(spark):
     assert out == {i: None if t is None else [got.get(w, w) for w in t] for i, t in rows}
 
 
+def test_long_texts_are_lemmatised_in_one_pass(spark):
+    corpus = spark.createDataFrame([(1, ["walks", "x"] * 20_000), (2, ["walks"]), (3, ["x", "x"]), (4, []), (5, None)], "org_id long, tokens array<string>")
+    lemmas = spark.createDataFrame([("walks", "walk"), ("x", "x")], "word string, lemma string")
+    out = lm.lemmatise(corpus, lemmas)
+    assert "map_from_entries" not in out._jdf.queryExecution().toString()
+    assert {r["org_id"]: r["tokens"] for r in out.collect()} == {1: ["walk", "x"] * 20_000, 2: ["walk"], 3: ["x", "x"], 4: [], 5: None}
+
+
 def test_rules_need_support(spark):
     words = spark.createDataFrame([("talk", 1), ("talks", 1), ("walk", 1), ("walks", 1)], "word string, n long")
     assert lm.suffix_rules(words).collect() == []
