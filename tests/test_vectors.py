@@ -7,6 +7,7 @@ from sectorlens.operators import cocluster as cc
 from sectorlens.operators import knn
 from sectorlens.operators import reassign as r
 from sectorlens.operators.knn import clustered_vectors, knn_join, left_over_vectors
+from sectorlens.plans import embedding as em
 from sectorlens.plans.embedding import embed_tokens, embed_with_model, sample_neighbours
 from sectorlens.plans.reassignment import reassign_orgs
 
@@ -232,3 +233,16 @@ def test_description_length_terms(spark):
     import math
 
     assert abs(row.f - math.lgamma(21)) < 0.01 and row.z == 0 and abs(row.c - math.log(math.comb(50, 20))) < 0.02
+
+
+def test_embed_tokens_counts_inside_a_row(spark):
+    rows = [(1, ["b", "a", "b"]), (1, ["a"]), (2, ["a", "c"]), (2, ["c"]), (3, []), (4, None), (None, ["a"])]
+    corpus = spark.createDataFrame(rows, "org_id long, tokens array<string>")
+    counts = em._row_counts(corpus)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.org_id or 0, r.token, r.tf) for r in counts.collect()) == [
+        (0, "a", 1), (1, "a", 1), (1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "c", 1), (2, "c", 1)]
+    assert sorted(r.token for r in em._holders(corpus).collect()) == ["a", "a", "a", "b", "c"]
+    merged = spark.createDataFrame([(1, ["a", "a", "b", "b"]), (2, ["a", "c", "c"])] + [(i, t) for i, t in rows[4:]] + [(8, None), (9, None)], "org_id long, tokens array<string>")
+    got, want = ({r.org_id: r.embedding for r in embed_tokens(c, 16).collect()} for c in (corpus, merged))
+    assert all(np.allclose(got[i], want[i], atol=1e-6) for i in (1, 2, 3, 4, None))
