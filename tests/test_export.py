@@ -41,3 +41,13 @@ def test_same_rows_as_the_pivot(spark, tmp_path):
     shares = spark.createDataFrame([("s", 1, 0, 0.25), ("s", 1, 1, 0.75), ("s", 2, 1, 1.0)], "sector string, doc_id long, word_group int, p double")
     export.export_topic_distribution(shares, f"{tmp_path}/d", sep="\t")
     assert lines_of(f"{tmp_path}/d", "\t") == (("sector", "doc_id", "Topic 1", "Topic 2"), [("s", "1", "0.25", "0.75"), ("s", "2", "0.0", "1.0")])
+
+
+def test_topic_shares_are_computed_once(spark):
+    edges = spark.createDataFrame([("s", 1, "a", 2), ("s", 1, "b", 1), ("s", 2, "b", 4)], "sector string, doc_id long, word string, cnt long")
+    groups = spark.createDataFrame([("s", "a", 0), ("s", "b", 1)], "sector string, word string, word_group int")
+    table = graph.topic_distribution_table(graph.doc_topics(edges, groups))
+    assert "LogicalRDD" not in topics._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in table._jdf.queryExecution().analyzed().toString()
+    want = [(1, round(2 / 3, 9), round(1 / 3, 9)), (2, 0.0, 1.0)]
+    assert sorted((r.doc_id, round(r["Topic 1"] or 0.0, 9), round(r["Topic 2"], 9)) for r in table.collect()) == want
