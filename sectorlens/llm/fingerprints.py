@@ -45,8 +45,24 @@ def terms_of(text: str | Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
 
 
-def lexicon_of(texts: DataFrame, text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> list[int]:
-    """Every bucket's distance from the band in steps, 0 inside it, four bits each in `BUCKETS` / 16 numbers.
+class Lexicon(list):
+    """The buckets inside the band, a bit each in `BUCKETS` / 64 numbers.
+
+    ``packed`` has every bucket's distance from the band in steps, 0 inside it, four bits each in
+    `BUCKETS` / 16 numbers.
+    """
+
+    def __init__(self, packed: list[int]):
+        super().__init__([0] * (BUCKETS // 64))
+        self.packed = packed
+        for word, bits in enumerate(packed):
+            for place in range(16 if bits else 0):
+                if bits >> place * 4 & FARTHEST == FARTHEST:
+                    self[word >> 2] |= 1 << (word & 3) * 16 + place
+
+
+def lexicon_of(texts: DataFrame, text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> Lexicon:
+    """The buckets inside the band and the distance of all others.
 
     The driver gets no more than these numbers; a bucket that no text has is farthest.
     """
@@ -63,15 +79,15 @@ def lexicon_of(texts: DataFrame, text_col: str = "text", band: tuple[float, floa
     packed = [0] * (BUCKETS // 16)
     for row in words.collect():
         packed[row["word"]] = row["bits"]
-    return packed
+    return Lexicon(packed)
 
 
-def _nearest(terms: str, packed: list[int]) -> Column:
+def _nearest(terms: str, lexicon: Lexicon) -> Column:
     """The terms by their distance from the band, each under its distance."""
-    lexicon = F.lit(packed).cast("array<bigint>")
+    packed = F.lit(lexicon.packed).cast("array<bigint>")
 
     def placed(t: Column) -> Column:
-        word = F.get(lexicon, F.shiftright(t, 4).cast("int"))
+        word = F.get(packed, F.shiftright(t, 4).cast("int"))
         nearer = F.call_function("shiftright", word, (t.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(FARTHEST))
         return F.shiftleft(F.lit(FARTHEST) - nearer, 20).bitwiseOR(t)
 
@@ -96,7 +112,7 @@ def _subset(drawn: str, lexicon: int) -> Column:
     return F.filter(drawn, lambda c: F.shiftright(c, 20) == lexicon)
 
 
-def with_fingerprint(df: DataFrame, text_col: str, out: str, lexicon: list[int]) -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str, out: str, lexicon: Lexicon) -> DataFrame:
     """Add `out`: an array with the hash of each lexicon subset, null where it holds no term."""
     terms, near, band = (f"_{out}_{name}" for name in ("terms", "near", "band"))
     df = df.withColumn(terms, terms_of(F.col(text_col)))
