@@ -93,6 +93,46 @@ def test_jaccard_needs_no_leaders(spark, monkeypatch):
     assert got == plain_links(docs)
 
 
+def test_jaccard_group_of_unlinked_texts(spark, monkeypatch):
+    """Texts around one base that mostly don't link leave few pairs to the exact comparison."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(130)]
+    docs = []
+    for i in range(400):
+        copy = base[:]
+        for place in rng.sample(range(130), rng.randint(2, 6)):
+            copy[place] = f"x{i}_{place}"
+        docs.append((i, " ".join(copy)))
+    compared, bounded = [], jaccard.within_bound
+
+    def counted(pairs, classes, percent):
+        pairs = pairs.cache()
+        compared.append(pairs.count())
+        return bounded(pairs, classes, percent)
+
+    monkeypatch.setattr(jaccard, "within_bound", counted)
+    out = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_links(docs)
+    assert sum(compared) < 10_000  # of 79,800 pairs
+
+
+def test_tile_pairs_by_place_and_signature():
+    def record(rep, n, at):
+        return (7, at, n, rep, rep)
+
+    records = np.array([record(1, 100, 0), record(2, 100, 11), record(3, 100, 12), record(4, 100, 2)], jaccard.RECORD)
+    # 89 common shingles of 100 and 100 are enough, 88 are not
+    assert jaccard.tile_pairs(records).tolist() == [[1, 2], [1, 4], [2, 4]]
+    assert len(jaccard.tile_pairs(records, nearest=1)) < 3
+    signed = np.zeros(4, jaccard.SIGNED_RECORD)
+    for name in jaccard.RECORD.names:
+        signed[name] = records[name]
+    sets = [np.arange(0, 100), np.arange(5, 105), np.arange(0, 100), np.arange(30, 130)]
+    for i, x in enumerate(sets):
+        signed["narrow"][i] = np.frombuffer(jaccard.narrow(jaccard.signature(x.astype(np.uint64))), np.uint64)
+    assert jaccard.tile_pairs(signed).tolist() == [[1, 2]]
+
+
 def test_jaccard_edge_cases(spark):
     schema = "doc_id long, text string"
     empty = spark.createDataFrame([], schema)
@@ -360,6 +400,19 @@ def test_pipeline(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > packing.SIZE).count() == 0
 
 
+def test_dropped_documents_without_moving_texts(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (2, text), (3, "other words than those of the texts above"), (3, "other words than those of the texts above"), (None, text), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "LISTED", 2)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(corpus_pipeline, "LISTED", 0)
+    far = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+    assert sorted(map(tuple, near.collect()), key=str) == sorted(map(tuple, far.collect()), key=str) == want
+
+
 def test_pipeline_edge_cases(spark):
     rows = [
         (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "the house and the garden are large", "en", "s", 3),
