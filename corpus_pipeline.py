@@ -14,6 +14,7 @@ from sectorlens.session import cut
 
 ORACLE_SQL = None
 LEAST_SCORE = 0.5
+LISTED = 2_000_000  # ids at most that are sent to every task
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     share a doc_id but differ, all stay or none.
     """
     groups = cut(jaccard.jaccard_components(docs))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    # Up to LISTED ids travel to the tasks, so that the texts don't move; more are joined by a shuffle.
+    repeated = _listed(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(_listed(groups.where("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti")
     # Compared as text, since columns such as maps have no equality.
     row = "_" + max(docs.columns, key=len)  # a name that no column has
     several = kept.join(repeated, "doc_id", "left_semi").withColumn(row, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
@@ -55,6 +57,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= LISTED else ids
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts by its kind; null and empty texts and repeated rows stay as they are."""
     return _measured(secrets.redact(docs), docs.columns)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorlens.llm.arrow import SLICE_BYTES, runs, text_slices
+from sectorlens.llm.arrow import SLICE_BYTES, release, runs, text_slices
 from sectorlens.llm.components import components
 from sectorlens.llm.words import shingle_sets
 from sectorlens.session import bucketed, cut
@@ -182,6 +182,7 @@ def verify(pairs: DataFrame, classes: DataFrame, k: int = WORDS, percent: int =
                     )
                 ]
                 yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+        release()
 
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(rows, "a long, b long")
 
@@ -258,6 +259,7 @@ def tile_records(classes: DataFrame, frequent, times, buckets: int, k: int, perc
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[begins], pa.int64()), pa.array(stored, pa.binary())], ["bucket", "records"]
                 )
+        release()
 
     return classes.select("rep", "n", "component", "packed").mapInArrow(rows, "bucket long, records binary")
 
@@ -362,6 +364,7 @@ def trial_pairs(shared: DataFrame, percent: int) -> DataFrame:
             for stored in batch.column("records").to_pylist():
                 pairs = tile_pairs(_unpacked(stored, open_), percent, TRIALS)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        release()
 
     return shared.mapInArrow(rows, "a long, b long").distinct()
 
@@ -380,6 +383,7 @@ def tile_rows(shared: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(part), bucket)), *columns], ["bucket", "key", "at", "n", "rep"]
                     )
+        release()
 
     return shared.mapInArrow(rows, "bucket long, key long, at long, n long, rep long")
 
@@ -417,6 +421,7 @@ def within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
                 for x, y, m, n in zip(*bits, *sizes, strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+        release()
 
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(rows, "a long, b long")
 
