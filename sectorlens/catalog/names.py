@@ -102,7 +102,7 @@ def j11(t):
 UNION_SQL = f"""{lsh_sql()}, {TOP_SQL}, pairs as (select x, y from lsh union select x, y from top)"""
 
 
-def candidates(t: Tables, min_score: float = 0):
+def candidates(t: Tables, min_score: float):
     left, right = sides(t)
     vectors = m.tfidf_vectors(left, right, hot_pairs=HOT_PAIRS)
     return m.union_candidates(
@@ -110,9 +110,17 @@ def candidates(t: Tables, min_score: float = 0):
     ), vectors
 
 
+def all_candidates(t: Tables):
+    left, right = sides(t)
+    vectors = m.tfidf_vectors(left, right, hot_pairs=HOT_PAIRS)
+    return *m.union_of_all(left, right, vectors, K, block=BLOCK), vectors
+
+
 @query("u4_union_candidates", f"with {SIDES}, {UNION_SQL} select x, y from pairs")
 def u4(t):
-    return candidates(t)[0]
+    pairs, others, _ = all_candidates(t)
+    pairs = pairs.select("x", "y")
+    return pairs if others is None else pairs.unionByName(others)
 
 
 SCORED_SQL = f"""{UNION_SQL}, three as (
@@ -125,19 +133,15 @@ SCORED_SQL = f"""{UNION_SQL}, three as (
 scored as (select *, round((jaccard + levenshtein + cosine) / 3, 6) as sim_mean from three)"""
 
 
-def scores(t: Tables, min_score: float):
-    return m.score_pairs(*candidates(t, min_score), min_score=min_score)
-
-
 for key, column in (("f6_jaccard", "jaccard"), ("f7_levenshtein", "levenshtein"), ("f8_cosine", "cosine")):
     query(key, f"with {SIDES}, {SCORED_SQL} select x, y, round({column}, 6) as {column} from scored")(
-        lambda t, column=column: scores(t, 0).select("x", "y", F.round(column, 6).alias(column))
+        lambda t, column=column: m.score_union(*all_candidates(t)).select("x", "y", F.round(column, 6).alias(column))
     )
 
 
 @query("f9_mean_score", f"with {SIDES}, {SCORED_SQL} select x, y, sim_mean from scored where sim_mean >= 50")
 def f9(t):
-    return scores(t, 50).select("x", "y", "sim_mean")
+    return m.score_pairs(*candidates(t, 50), min_score=50).select("x", "y", "sim_mean")
 
 
 @query(

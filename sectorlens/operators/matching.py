@@ -7,6 +7,7 @@ once, and its rows are attached at the end.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,17 +34,46 @@ def distinct_names(names: DataFrame) -> DataFrame:
 # Candidates by MinHash and locality-sensitive hashing.
 
 
-def band_keys(names: DataFrame, id_col: str, bands: int, rows: int, k: int) -> DataFrame:
-    """One row per name and band with the hash of the band's minhashes, and the name's sizes."""
-    signed = names.select(
-        F.col("id").alias(id_col),
-        F.length("name").alias(f"length_{id_col}"),
-        F.size(shingles("name", k)).alias(f"size_{id_col}"),
-        minhashes(shingles("name", k), bands * rows).alias("sig"),
-    )
-    banded = signed.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
-    key = F.xxhash64(F.slice("sig", F.col("band") * rows + 1, F.lit(rows)))
-    return banded.select(id_col, f"length_{id_col}", f"size_{id_col}", "band", key.alias("key"))
+def signed_names(names: DataFrame, side: str, bands: int, rows: int, k: int) -> DataFrame:
+    """Names with their sizes, ``grams`` and ``keys``, the hash of each band's minhashes."""
+    grams = shingles("name", k)
+    signed = names.select(F.col("id").alias(side), "name", F.length("name").alias("length"), grams.alias("grams"), minhashes(grams, bands * rows).alias("sig"))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, F.lit(rows))))
+    values = {"name": F.col("name"), "length": F.col("length"), "size": F.size("grams"), "grams": F.col("grams"), "keys": keys}
+    # A name is read once per band, so its signature is computed once and kept.
+    return cut(signed.select(side, *[value.alias(f"{name}_{side}") for name, value in values.items()]))
+
+
+def agree(xs_keys: str, ys_keys: str, bands: int, before: Column | None = None) -> Column:
+    """Whether two names have the key of a band in common, of one before ``before`` if given."""
+    same = [
+        (F.get(xs_keys, F.lit(b)) == F.get(ys_keys, F.lit(b))) & (F.lit(True) if before is None else before > b)
+        for b in range(bands)
+    ]
+    return reduce(or_, same)
+
+
+def lsh_meetings(xs: DataFrame, ys: DataFrame, bands: int, block: int) -> DataFrame:
+    """The rows of two signed names that agree on a band, joined in the first such band only.
+
+    So no pair comes twice, and pairs, which may be many more than names, are never moved.
+    """
+    banded = [names.select("*", F.posexplode(f"keys_{side}").alias("band", "key")) for names, side in ((xs, "x"), (ys, "y"))]
+    met = spread_join(*banded, ["band", "key"], "x", block, few_copies=True)
+    return met.where(~agree("keys_x", "keys_y", bands, F.col("band"))).drop("band", "key")
+
+
+def by_ids(names: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The names whose id is theirs alone; and those that share their id or have none, if any."""
+    single = cut(names.groupBy(id_col).count().where("count = 1").select(id_col))
+    shared = cut(names.join(single, id_col, "left_anti"))
+    return (names, None) if shared.isEmpty() else (names.join(single, id_col, "left_semi"), shared)
+
+
+def meetings_of_shared(met, xs: DataFrame, ys: DataFrame, shared_xs: DataFrame | None, shared_ys: DataFrame | None) -> list[DataFrame]:
+    """(x, y) of ``met`` for the pairs with an id of several names or none; a pair may come twice."""
+    all_ys = ys if shared_ys is None else ys.unionByName(shared_ys)
+    return [met(*sides).select("x", "y") for sides in ((shared_xs, all_ys), (xs, shared_ys)) if None not in sides]
 
 
 def score_bound() -> Column:
@@ -76,10 +106,16 @@ def lsh_candidates(
     """
     if vectors is not None and least_jaccard(min_score) > 0:
         return promising_candidates(left, right, vectors, k, bands, rows, min_score, block)
-    # Read twice, so the signatures are computed once and kept.
-    xs, ys = cut(band_keys(left, "x", bands, rows, k)), cut(band_keys(right, "y", bands, rows, k))
-    met = spread_join(xs, ys, ["band", "key"], "x", block)
-    return met.where(score_bound() >= min_score - 1e-6).select("x", "y").distinct()
+    (xs, shared_xs), (ys, shared_ys) = (
+        by_ids(signed_names(names, side, bands, rows, k), side) for names, side in ((left, "x"), (right, "y"))
+    )
+
+    def pairs(xs: DataFrame, ys: DataFrame) -> DataFrame:
+        met = lsh_meetings(xs, ys, bands, block)
+        return (met.where(score_bound() >= min_score - 1e-6) if min_score > 0 else met).select("x", "y")
+
+    several = meetings_of_shared(pairs, xs, ys, shared_xs, shared_ys)
+    return pairs(xs, ys).unionByName(union_candidates(*several)) if several else pairs(xs, ys)
 
 
 def least_jaccard(min_score: float) -> float:
@@ -191,8 +227,12 @@ def _side(vectors: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _cosine() -> Column:
-    weights = F.map_from_arrays(F.col("terms_x.term"), F.col("terms_x.w"))
+def _weights(side: str) -> Column:
+    return F.map_from_arrays(F.col(f"terms_{side}.term"), F.col(f"terms_{side}.w"))
+
+
+def _cosine(weights: Column | None = None) -> Column:
+    weights = _weights("x") if weights is None else weights
     dot = F.aggregate(
         "terms_y", F.lit(0.0), lambda s, t: s + t.w * F.coalesce(F.try_element_at(weights, t.term), F.lit(0.0))
     )
@@ -250,6 +290,33 @@ def union_candidates(*candidates: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select("x", "y") for c in candidates]).distinct()
 
 
+def union_of_all(
+    left: DataFrame, right: DataFrame, vectors: DataFrame, top_k: int = 10, k: int = 3, bands: int = 16, rows: int = 4, block: int = 1_000
+) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs of :func:`lsh_candidates` and :func:`cosine_candidates`, each once, in two tables.
+
+    The first has what scores need of both names beside (x, y), so pairs, which may be many more than
+    names, are not moved again. The second, if any, is (x, y) with an id of several names or none.
+    """
+    def weighed(names: DataFrame, side: str) -> DataFrame:
+        signed = signed_names(names, side, bands, rows, k)
+        return cut(signed.join(_side(vectors, side).withColumn(f"weights_{side}", _weights(side)), [side, f"name_{side}"], "left"))
+
+    def met(xs: DataFrame, ys: DataFrame) -> DataFrame:
+        return lsh_meetings(xs, ys, bands, block)
+
+    (xs, shared_xs), (ys, shared_ys) = (by_ids(weighed(names, side), side) for names, side in ((left, "x"), (right, "y")))
+    best = cut(cosine_candidates(vectors, top_k).select("x", "y"))
+    far = best.join(xs, "x").join(ys, "y").where(~agree("keys_x", "keys_y", bands))
+    pairs = met(xs, ys).unionByName(far)
+    several = meetings_of_shared(met, xs, ys, shared_xs, shared_ys)
+    if not several:
+        return pairs, None
+    own_best = best.join(xs.select("x"), "x", "left_semi")
+    others = best.join(xs.select("x"), "x", "left_anti").unionByName(own_best.join(ys.select("y"), "y", "left_anti"))
+    return pairs, union_candidates(*several, others)
+
+
 # Scores and choice.
 
 
@@ -271,6 +338,24 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, k: int = 3, min_score: flo
     return scored.withColumn("sim_mean", F.round(mean, 6)).where(F.col("sim_mean") >= min_score)
 
 
+def score_union(pairs: DataFrame, others: DataFrame | None, vectors: DataFrame, k: int = 3, min_score: float = 0) -> DataFrame:
+    """The scores of :func:`score_pairs` for both tables of :func:`union_of_all`.
+
+    Shingles and weights are those of the names' rows, so they are not made anew for every pair.
+    """
+    both = pairs.withColumn("shared", F.size(F.array_intersect("grams_x", "grams_y")))
+    scored = both.select(
+        "x", "y",
+        (100.0 * F.col("shared") / (F.col("size_x") + F.col("size_y") - F.col("shared"))).alias("jaccard"),
+        levenshtein_score("name_x", "name_y").alias("levenshtein"),
+        (_cosine(F.col("weights_x")) * 100).alias("cosine"),
+    )
+    scored = scored.withColumn("sim_mean", F.round((F.col("jaccard") + F.col("levenshtein") + F.col("cosine")) / 3, 6))
+    if min_score > 0:  # no score is below 0
+        scored = scored.where(F.col("sim_mean") >= min_score)
+    return scored if others is None else scored.unionByName(score_pairs(others, vectors, k, min_score))
+
+
 def best_matches(pairs: DataFrame) -> DataFrame:
     """For each y the x of the highest mean score; of equals the first x."""
     return top_per_key(pairs.select("x", "y", "sim_mean"), ["y"], [F.desc("sim_mean"), F.col("x")], 1).drop("rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sectorlens.functions.names import clean_name, jaccard_score, levenshtein_score, shingles
 from sectorlens.operators import matching as m
 from sectorlens.plans.name_matching import match_names
+from sectorlens.session import cut
 
 
 def test_name_expressions(spark):
@@ -141,3 +142,22 @@ def test_score_limit_is_inclusive(spark):
     pair = spark.createDataFrame([(1, 1)], "x long, y long")
     assert m.score_pairs(pair, vectors, min_score=100).count() == 1
     assert m.union_candidates(pair, pair.withColumn("z", F.lit(1))).count() == 1
+
+
+def test_all_pairs_are_scored_where_they_meet(spark):
+    """No pair is moved to be told from its repeats; ids of several names, or none, lose and double nothing."""
+    names = [f"north sea trading house {i:02d}" for i in range(24)] + ["baker", "sea", "zq"]
+    left = spark.createDataFrame([*enumerate(names), (3, "north sea house"), (None, "south sea house")], "id long, name string").coalesce(1)
+    right = spark.createDataFrame([*enumerate(names[::-1]), (5, "north sea 11"), (None, "south sea")], "id long, name string").coalesce(1)
+    own = left.where("id <> 3"), right.where("id <> 5")
+    for xs, ys in ((left, right), own):
+        vectors = m.tfidf_vectors(xs, ys)
+        lsh, best = m.lsh_candidates(xs, ys, block=4), m.cosine_candidates(vectors, 3)
+        assert lsh.count() == lsh.distinct().count()
+        pairs, others = m.union_of_all(xs, ys, vectors, 3, block=4)
+        assert (others is None) == (xs is not left)
+        want = cut(m.union_candidates(lsh, best))
+        scored = m.score_union(pairs, others, vectors)
+        assert sorted(map(str, scored.collect())) == sorted(map(str, m.score_pairs(want, vectors, min_score=0).collect()))
+    plan = lsh._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x#" not in plan
