@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorlens.operators.cocluster import _blocks, half_pass, start_labels
+from sectorlens.operators.cocluster import full_pass, moved_share, start_labels
 from sectorlens.operators.merging import nested_groups
-from sectorlens.session import cut
+from sectorlens.session import bucketed, cut
 
 KINDS = ("doc", "word")
 TREE = "sector string, run int, level int, kind string, grp int, parent int, length double"
@@ -95,15 +95,14 @@ def _split(nodes: DataFrame, node: str, turn: int) -> DataFrame:
 
 
 def _settled(edges: DataFrame, docs: DataFrame, words: DataFrame, sizes: tuple[list[int], list[int]], max_iter: int, epsilon: float):
-    """Labels after passes over both sides, until fewer than ``epsilon`` of the documents move in any sector and run."""
+    """Labels and blocks after passes over both sides, until fewer than ``epsilon`` of the documents move in any sector and run."""
+    blocks = None
     for _ in range(max_iter):
-        docs = half_pass(edges, words, docs, "word", "doc_id", sizes[0], sizes[1])
-        words = half_pass(edges, docs, words, "doc_id", "word", sizes[1], sizes[0])
-        moved = docs.select("sector", F.posexplode("moved").alias("run", "moved")).groupBy("sector", "run").agg(F.avg("moved").alias("moved"))
-        most = moved.agg(F.max("moved")).first()[0]
+        docs, words, blocks = full_pass(edges, docs, words, sizes[0], sizes[1], blocks=blocks)
+        most = moved_share(docs).agg(F.max("moved")).first()[0]
         if most is None or most < epsilon:
             break
-    return docs, words
+    return docs, words, blocks
 
 
 def fit_levels(
@@ -116,7 +115,7 @@ def fit_levels(
     after ``patience`` rounds without a shorter description, or after ``max_rounds``.
     """
     numbered = cut(edges.select("sector", "word").distinct().withColumn("number", F.monotonically_increasing_id()))
-    rest = cut(edges.join(numbered, ["sector", "word"]).select("sector", "doc_id", F.col("number").alias("word"), "cnt"))
+    rest = bucketed(edges.join(numbered, ["sector", "word"]).select("sector", "doc_id", F.col("number").alias("word"), "cnt"), "sector", "word")
     seeds = list(range(n_init))
     first = [start_groups] * n_init
     docs = cut(start_labels(rest.select("sector", "doc_id").distinct(), "doc_id", first, seeds))
@@ -128,8 +127,8 @@ def fit_levels(
     rounds: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     best = None  # (sector, length, round): the shortest description over the rounds so far, of any run
     for turn in range(max_rounds):
-        docs, words = _settled(rest, docs, words, sizes, max_iter, epsilon)
-        tree = cut(group_tree(_blocks(words, n_init), docs, words))
+        docs, words, blocks = _settled(rest, docs, words, sizes, max_iter, epsilon)
+        tree = cut(group_tree(blocks, docs, words))
         docs, words = (cut(_relabelled(side, node, _maps(tree, kind, n_init))) for side, node, kind in ((docs, "doc_id", "doc"), (words, "word", "word")))
         rounds.append((tree, docs, words))
         lengths = tree.groupBy("sector").agg(F.min("length").alias("length")).withColumn("round", F.lit(turn))

@@ -10,6 +10,7 @@ from sectorlens.operators.knn import clustered_vectors, knn_join, left_over_vect
 from sectorlens.plans import embedding as em
 from sectorlens.plans.embedding import embed_tokens, embed_with_model, sample_neighbours
 from sectorlens.plans.reassignment import reassign_orgs
+from sectorlens.session import bucketed, cut
 
 
 def frame(spark, ids, matrix):
@@ -246,3 +247,36 @@ def test_embed_tokens_counts_inside_a_row(spark):
     merged = spark.createDataFrame([(1, ["a", "a", "b", "b"]), (2, ["a", "c", "c"])] + [(i, t) for i, t in rows[4:]] + [(8, None), (9, None)], "org_id long, tokens array<string>")
     got, want = ({r.org_id: r.embedding for r in embed_tokens(c, 16).collect()} for c in (corpus, merged))
     assert all(np.allclose(got[i], want[i], atol=1e-6) for i in (1, 2, 3, 4, None))
+
+
+def test_relabelling_against_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    cells = [(s, d, w, int(rng.integers(1, 9))) for s in ("a", "b") for d in range(12) for w in range(15) if rng.random() < 0.5]
+    edges = bucketed(spark.createDataFrame(cells, "sector string, doc_id long, word long, cnt long"), "sector", "word")
+    docs = cc.start_labels(edges.select("sector", "doc_id").distinct(), "doc_id", [2, 3], [0, 1])
+    words = cc.start_labels(edges.select("sector", "word").distinct(), "word", [2, 4], [0, 1])
+    got = cc.half_pass(edges, docs, words, "doc_id", "word", [2, 4], [2, 3]).collect()
+    far, own = ({(r["sector"], r[name]): r["labels"] for r in side.collect()} for side, name in ((docs, "doc_id"), (words, "word")))
+    for run, sizes in enumerate(((2, 2), (4, 3))):
+        counts = {s: np.zeros(sizes) for s in "ab"}
+        for s, d, w, n in cells:
+            counts[s][own[s, w][run], far[s, d][run]] += n
+        for r in got:
+            ends = np.zeros(sizes[1])
+            for s, d, w, n in cells:
+                if (s, w) == (r["sector"], r["word"]):
+                    ends[far[s, d][run]] += n
+            block = counts[r["sector"]]
+            rates = np.log((block + 1e-9) / (block.sum(1, keepdims=True) + 1e-9 * sizes[1]))
+            fits = np.where(block.sum(1) > 0, np.round((ends * rates).sum(1), 6), -np.inf)
+            assert r["labels"][run] == np.argmax(fits)
+            assert r["moved"][run] == float(r["labels"][run] != own[r["sector"], r["word"]][run])
+
+
+def test_bucketed_edges_stay(spark):
+    """With few labels at the other end the edges of a node are summed where they lie."""
+    edges = bucketed(spark.createDataFrame([("a", d, w, 1) for d in range(9) for w in range(9)], "sector string, doc_id long, word long, cnt long"), "sector", "word")
+    docs = cc.start_labels(edges.select("sector", "doc_id").distinct(), "doc_id", [2], [0])
+    tally = cc._tally(edges, cut(docs), "doc_id", "word")
+    assert "Exchange hashpartitioning" not in tally._jdf.queryExecution().executedPlan().toString()
+    assert sum(end["e"] for r in tally.collect() for end in r["ends"]) == 81
