@@ -9,10 +9,15 @@ to their words. Replacements have at most one letter, so a stem meets few base f
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sectorlens.operators.joins import spread_join
+from sectorlens.operators.phrases import SENT_BYTES, by_repetition, flat, places
 from sectorlens.session import cut
 
 LEAST_STEM, LONGEST_SUFFIX = 3, 4
@@ -80,10 +85,37 @@ def lemma_table(words: DataFrame, rules: DataFrame, passes: int = 2) -> DataFram
 
 
 def lemmatise(corpus: DataFrame, lemmas: DataFrame, key: str = "org_id", tokens: str = "tokens") -> DataFrame:
-    """``(key, tokens)`` with every token replaced by its lemma; tokens without one stay."""
+    """``(key, tokens)`` with every token replaced by its lemma; tokens without one stay.
+
+    Words with another lemma go to the tasks, up to a bound, so that texts don't move; beyond it, and
+    for keys that repeat or are null, tokens are joined to them.
+    """
+    changed = cut(lemmas.where("word <> lemma").select("word", "lemma"))
+    size, n, words = changed.agg(F.sum(F.octet_length("word") + F.octet_length("lemma") + 8), F.count("*"), F.countDistinct("word")).first()
+    if (size or 0) > SENT_BYTES or n != words:
+        return _lemmatised_by_join(corpus, changed, key, tokens)
+    table = changed.toArrow()
+    word, lemma = (table.column(c).combine_chunks().cast(pa.string()) for c in ("word", "lemma"))
+    once, others = by_repetition(corpus, key, tokens)
+
+    def rows(batches):
+        for batch in batches:
+            column = batch.column(tokens)
+            values, lengths = flat(column)
+            found = places(values, word)
+            ends = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32), mask=np.r_[column.is_null().to_numpy(zero_copy_only=False), False])
+            lists = pa.ListArray.from_arrays(ends, pc.coalesce(lemma.take(pa.array(found, mask=found < 0)), values))
+            yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "tokens"])
+
+    schema = T.StructType([once.schema[key], T.StructField("tokens", once.schema[tokens].dataType)])
+    replaced = once.mapInArrow(rows, schema)
+    return replaced if others is None else replaced.unionByName(_lemmatised_by_join(others, changed, key, tokens))
+
+
+def _lemmatised_by_join(corpus: DataFrame, changed: DataFrame, key: str, tokens: str) -> DataFrame:
     each = cut(corpus.select(key, F.posexplode(tokens).alias("_at", "word")).withColumn("_row", F.struct(key, "_at")))
-    changed = spread_join(each, lemmas.where("word <> lemma"), ["word"], "_row", HOT)
-    per_row = changed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "lemma"))).alias("_found"))  # a text's tokens
+    met = spread_join(each, changed, ["word"], "_row", HOT)
+    per_row = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "lemma"))).alias("_found"))  # a text's tokens
     joined = corpus.select(key, F.col(tokens).alias("tokens")).join(per_row, key, "left")
     placed = joined.withColumn("_new", F.filter("_found", lambda n: n["_at"] < F.size("tokens")))
     # Tokens between two changed ones are copied as slices, so a text costs one pass.

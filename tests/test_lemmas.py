@@ -55,3 +55,20 @@ def test_rules_need_support(spark):
     assert lm.suffix_rules(words).collect() == []
     assert [tuple(r)[:3] for r in lm.suffix_rules(words, 2, 0.1).collect()] == [("s", "", 2)]
     assert lm.lemma_of(words, lm.suffix_rules(words)).where("word <> lemma").collect() == []
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Lemmas go to the texts; keys that repeat or are null, and too many lemmas, take the join."""
+    rows = [(i, ["walks", None, f"w{i}", "walk"]) for i in range(20)] + [(30, []), (31, None)]
+    lemmas = spark.createDataFrame([("walks", "walk"), ("w3", "w"), ("walk", "walk")], "word string, lemma string")
+    once = spark.createDataFrame(rows, "org_id long, tokens array<string>")
+    out = lm.lemmatise(once, lemmas)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    several = spark.createDataFrame([*rows, (3, ["a", "w3"]), (None, ["walks"])], "org_id long, tokens array<string>")
+
+    def found(corpus):
+        return sorted(map(str, lm.lemmatise(corpus, lemmas).collect()))
+
+    got = [found(once), found(several)]
+    monkeypatch.setattr(lm, "SENT_BYTES", 0)
+    assert got == [found(once), found(several)]

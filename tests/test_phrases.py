@@ -1,6 +1,8 @@
 """Joining and filtering inside the tasks against the joins, also for ids that repeat or are null."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -41,3 +43,23 @@ def test_tokens_do_not_move(spark):
     for df in (phrases.filter_frequency(docs, 2, 1.0), phrases.detect_phrases(docs)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
         assert len(df.collect()) == 30
+
+
+@pytest.mark.parametrize("sent", [0, 120, 1 << 25])
+def test_pairs_are_counted_as_numbers(spark, monkeypatch, sent):
+    """Whatever share of the tokens is sent, the accepted pairs are those of a plain count, and their words aren't shuffled."""
+    corpus = corpus_of(spark)
+    monkeypatch.setattr(phrases, "SENT_BYTES", sent)
+    docs = [r.tokens for r in corpus.collect() if r.tokens]
+    pairs, words = (Counter(p for d in docs for p in zip(d, d[1:])), Counter(t for d in docs for t in d))
+    total = sum(words.values())
+
+    def npmi(pair):
+        return math.log(pairs[pair] * total / (words[pair[0]] * words[pair[1]])) / -math.log(pairs[pair] / total)
+
+    want = {(*p, n) for p, n in pairs.items() if n >= 2 and None not in p and round(npmi(p), 9) > 0.05}
+    found = phrases.accepted_phrases(corpus, 0.05)
+    assert want and {(r["first"], r["second"], r["n"]) for r in found.collect()} == want
+    if sent > 120:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [code#" in plan and "Aggregate [first#" not in plan
