@@ -119,7 +119,7 @@ def all_candidates(t: Tables):
 @query("u4_union_candidates", f"with {SIDES}, {UNION_SQL} select x, y from pairs")
 def u4(t):
     pairs, others, _ = all_candidates(t)
-    pairs = pairs.select("x", "y")
+    pairs = pairs.pairs()
     return pairs if others is None else pairs.unionByName(others)
 
 
@@ -135,7 +135,7 @@ scored as (select *, round((jaccard + levenshtein + cosine) / 3, 6) as sim_mean
 
 for key, column in (("f6_jaccard", "jaccard"), ("f7_levenshtein", "levenshtein"), ("f8_cosine", "cosine")):
     query(key, f"with {SIDES}, {SCORED_SQL} select x, y, round({column}, 6) as {column} from scored")(
-        lambda t, column=column: m.score_union(*all_candidates(t)).select("x", "y", F.round(column, 6).alias(column))
+        lambda t, column=column: m.score_union(*all_candidates(t), scores=[column], digits=6)
     )
 
 

@@ -6,6 +6,8 @@ once, and its rows are attached at the end.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sectorlens.functions.names import clean_name, jaccard_score, levenshtein_score, minhashes, shingles
+from sectorlens.operators.crowds import SCORES, crowd_pairs
 from sectorlens.operators.joins import spread_join
 from sectorlens.operators.ranking import top_per_key
 from sectorlens.operators.records import validate_keys
@@ -63,6 +66,13 @@ def lsh_meetings(xs: DataFrame, ys: DataFrame, bands: int, block: int) -> DataFr
     return met.where(~agree("keys_x", "keys_y", bands, F.col("band"))).drop("band", "key")
 
 
+def crowded(xs: DataFrame, ys: DataFrame, share: float = 0.01) -> bool:
+    """Whether the buckets of two signed names hold more meetings than this share of all pairs."""
+    counts = [names.select(F.posexplode(f"keys_{side}").alias("band", "key")).groupBy("band", "key").agg(F.count("*").alias(f"n_{side}")) for names, side in ((xs, "x"), (ys, "y"))]
+    meetings = counts[0].join(counts[1], ["band", "key"]).agg(F.sum(F.col("n_x").cast("double") * F.col("n_y"))).first()[0]
+    return (meetings or 0) > share * xs.count() * ys.count()
+
+
 def by_ids(names: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
     """The names whose id is theirs alone; and those that share their id or have none, if any."""
     single = cut(names.groupBy(id_col).count().where("count = 1").select(id_col))
@@ -101,6 +111,7 @@ def lsh_candidates(
     The x of a bucket are dealt by hash into blocks of about ``block``, and its y visit every
     block, so a form shared by many names is spread over tasks. With ``min_score``, pairs whose
     sizes alone rule that mean score out are left away inside the block; no other pair is lost.
+    Without, buckets that hold a good part of all pairs meet in cells (:func:`crowds.crowd_pairs`).
     With the names' ``vectors`` too, pairs that can't reach the mean score are not met at all
     (:func:`promising_candidates`).
     """
@@ -115,7 +126,8 @@ def lsh_candidates(
         return (met.where(score_bound() >= min_score - 1e-6) if min_score > 0 else met).select("x", "y")
 
     several = meetings_of_shared(pairs, xs, ys, shared_xs, shared_ys)
-    return pairs(xs, ys).unionByName(union_candidates(*several)) if several else pairs(xs, ys)
+    single = crowd_pairs(xs, ys) if min_score <= 0 and crowded(xs, ys) else pairs(xs, ys)
+    return single.unionByName(union_candidates(*several)) if several else single
 
 
 def least_jaccard(min_score: float) -> float:
@@ -290,13 +302,29 @@ def union_candidates(*candidates: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [c.select("x", "y") for c in candidates]).distinct()
 
 
+@dataclass
+class Meetings:
+    """Pairs of names, each once: what scores need of both names is beside (x, y) in ``rows``.
+
+    The names of ``crowd``, if any, meet in cells, where they are scored, too.
+    """
+
+    rows: DataFrame
+    crowd: tuple[DataFrame, DataFrame] | None = None
+
+    def pairs(self) -> DataFrame:
+        """(x, y)"""
+        rows = self.rows.select("x", "y")
+        return rows if self.crowd is None else crowd_pairs(*self.crowd).unionByName(rows)
+
+
 def union_of_all(
     left: DataFrame, right: DataFrame, vectors: DataFrame, top_k: int = 10, k: int = 3, bands: int = 16, rows: int = 4, block: int = 1_000
-) -> tuple[DataFrame, DataFrame | None]:
-    """The pairs of :func:`lsh_candidates` and :func:`cosine_candidates`, each once, in two tables.
+) -> tuple[Meetings, DataFrame | None]:
+    """The pairs of :func:`lsh_candidates` and :func:`cosine_candidates`, each once, in two parts.
 
-    The first has what scores need of both names beside (x, y), so pairs, which may be many more than
-    names, are not moved again. The second, if any, is (x, y) with an id of several names or none.
+    The first has what scores need of both names, so pairs, which may be many more than names, are
+    not moved again. The second, if any, is (x, y) with an id of several names or none.
     """
     def weighed(names: DataFrame, side: str) -> DataFrame:
         signed = signed_names(names, side, bands, rows, k)
@@ -308,7 +336,7 @@ def union_of_all(
     (xs, shared_xs), (ys, shared_ys) = (by_ids(weighed(names, side), side) for names, side in ((left, "x"), (right, "y")))
     best = cut(cosine_candidates(vectors, top_k).select("x", "y"))
     far = best.join(xs, "x").join(ys, "y").where(~agree("keys_x", "keys_y", bands))
-    pairs = met(xs, ys).unionByName(far)
+    pairs = Meetings(far, (xs, ys)) if crowded(xs, ys) else Meetings(met(xs, ys).unionByName(far))
     several = meetings_of_shared(met, xs, ys, shared_xs, shared_ys)
     if not several:
         return pairs, None
@@ -338,22 +366,33 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame, k: int = 3, min_score: flo
     return scored.withColumn("sim_mean", F.round(mean, 6)).where(F.col("sim_mean") >= min_score)
 
 
-def score_union(pairs: DataFrame, others: DataFrame | None, vectors: DataFrame, k: int = 3, min_score: float = 0) -> DataFrame:
-    """The scores of :func:`score_pairs` for both tables of :func:`union_of_all`.
+def score_union(
+    pairs: Meetings, others: DataFrame | None, vectors: DataFrame, k: int = 3, min_score: float = 0,
+    scores: Sequence[str] = SCORES, digits: int | None = None,
+) -> DataFrame:
+    """The scores of :func:`score_pairs` for both parts of :func:`union_of_all`, or some of them, rounded to ``digits`` if given.
 
     Shingles and weights are those of the names' rows, so they are not made anew for every pair.
+    ``min_score`` needs all three scores.
     """
-    both = pairs.withColumn("shared", F.size(F.array_intersect("grams_x", "grams_y")))
+    names = [*scores, "sim_mean"] if len(scores) == len(SCORES) else list(scores)
+
+    def shown(scored: DataFrame) -> DataFrame:
+        kept = scored.where(F.col("sim_mean") >= min_score) if min_score > 0 else scored  # no score is below 0
+        return kept.select("x", "y", *[c if digits is None else F.round(c, digits).alias(c) for c in names])
+
+    both = pairs.rows.withColumn("shared", F.size(F.array_intersect("grams_x", "grams_y")))
     scored = both.select(
         "x", "y",
         (100.0 * F.col("shared") / (F.col("size_x") + F.col("size_y") - F.col("shared"))).alias("jaccard"),
         levenshtein_score("name_x", "name_y").alias("levenshtein"),
         (_cosine(F.col("weights_x")) * 100).alias("cosine"),
     )
-    scored = scored.withColumn("sim_mean", F.round((F.col("jaccard") + F.col("levenshtein") + F.col("cosine")) / 3, 6))
-    if min_score > 0:  # no score is below 0
-        scored = scored.where(F.col("sim_mean") >= min_score)
-    return scored if others is None else scored.unionByName(score_pairs(others, vectors, k, min_score))
+    out = shown(scored.withColumn("sim_mean", F.round((F.col("jaccard") + F.col("levenshtein") + F.col("cosine")) / 3, 6)))
+    if pairs.crowd is not None:
+        crowd = crowd_pairs(*pairs.crowd, scores, digits)
+        out = (crowd.where(F.col("sim_mean") >= min_score) if min_score > 0 else crowd).select("x", "y", *names).unionByName(out)
+    return out if others is None else out.unionByName(shown(score_pairs(others, vectors, k, min_score)))
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
