@@ -56,3 +56,21 @@ def test_documents_of_one_topic_are_close(spark):
     near = x @ x.T
     same = np.equal.outer(np.arange(90) % 3, np.arange(90) % 3)
     assert near[same].min() > near[~same].max()
+
+
+def test_vectors_go_once_to_a_block(spark, monkeypatch):
+    """Products of several blocks of whole rows; a vector travels to each block that has a cell of it, not to every cell."""
+    monkeypatch.setattr(factors, "BLOCK_CELLS", 400)
+    x = sparse(np.random.default_rng(4), 90, 60, 6, 0.5)
+    blocks = factors.in_blocks(as_cells(spark, x))
+    n_blocks = -(-np.count_nonzero(x) // 400)
+    stored = [tuple(r) for r in blocks.cells.select("block", "row").distinct().collect()]
+    assert len({b for b, _ in stored}) == n_blocks > 4 and len(stored) == 90
+    assert blocks.columns.count() <= n_blocks * 60 < np.count_nonzero(x) / 2
+    for by, to, matrix in (("col", "row", x), ("row", "col", x.T)):
+        names = [f"t{j}" for j in range(60)] if by == "col" else list(range(90))
+        vectors = np.random.default_rng(5).normal(size=(len(names), 3))
+        sent = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, vectors)], f"{by} {'string' if by == 'col' else 'long'}, vector array<double>")
+        got = {r[to]: r["vector"] for r in factors.multiply(blocks, sent, by, to).collect()}
+        keys = [f"t{j}" for j in range(60)] if to == "col" else list(range(90))
+        assert np.allclose([got[k] for k in keys], matrix @ vectors)
