@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectorlens.operators.joins import spread_join
-from sectorlens.operators.phrases import SENT_BYTES, by_repetition, flat, places
+from sectorlens.operators.phrases import SENT_BYTES, by_repetition, flat, in_parts, places
 from sectorlens.session import cut
 
 LEAST_STEM, LONGEST_SUFFIX = 3, 4
@@ -99,7 +99,7 @@ def lemmatise(corpus: DataFrame, lemmas: DataFrame, key: str = "org_id", tokens:
     once, others = by_repetition(corpus, key, tokens)
 
     def rows(batches):
-        for batch in batches:
+        for batch in in_parts(batches, tokens):
             column = batch.column(tokens)
             values, lengths = flat(column)
             found = places(values, word)

@@ -63,3 +63,13 @@ def test_pairs_are_counted_as_numbers(spark, monkeypatch, sent):
     if sent > 120:
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [code#" in plan and "Aggregate [first#" not in plan
+
+
+def test_a_long_batch_is_taken_in_parts(spark, monkeypatch):
+    corpus = corpus_of(spark).where("org_id is null or org_id <> 7")
+    want = [rows(phrases.detect_phrases(corpus, 0.05)), rows(phrases.filter_frequency(corpus, 9, 0.6))]
+    monkeypatch.setattr(phrases, "PART_TOKENS", 5)
+    assert [rows(phrases.detect_phrases(corpus, 0.05)), rows(phrases.filter_frequency(corpus, 9, 0.6))] == want
+    batch = corpus.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    parts = list(phrases.in_parts([batch]))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == batch.num_rows
