@@ -46,7 +46,8 @@ def test_same_rows_as_the_pivot(spark, tmp_path):
 def test_topic_shares_are_computed_once(spark):
     edges = spark.createDataFrame([("s", 1, "a", 2), ("s", 1, "b", 1), ("s", 2, "b", 4)], "sector string, doc_id long, word string, cnt long")
     groups = spark.createDataFrame([("s", "a", 0), ("s", "b", 1)], "sector string, word string, word_group int")
-    table = graph.topic_distribution_table(graph.doc_topics(edges, groups))
+    topics = graph.doc_topics(edges, groups)
+    table = graph.topic_distribution_table(topics)
     assert "LogicalRDD" not in topics._jdf.queryExecution().analyzed().toString()
     assert "Join" not in table._jdf.queryExecution().analyzed().toString()
     want = [(1, round(2 / 3, 9), round(1 / 3, 9)), (2, 0.0, 1.0)]
